@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +44,25 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is already gone; the cluster clears its folder
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared checkpoint folder and read back.
+
+    Unlike checkpoint() it computes df once and keeps it columnar; a lost executor costs no recomputation of what lies before. The
+    table is removed when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_checkpoint_dir(spark).rstrip('/')}/lexweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    atexit.register(_forget, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
