@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import packing, tokens
+from lexweave.llm import chunking, packing, tokens
 from lexweave.session import read
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized item."""
+    return chunking.split_items(read(spark, sf_dir, "numeric_subpoints"), read(spark, sf_dir, "chunk_limits"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that had to be cut; an oversized item has one first piece."""
+    return p5_pieces(spark, sf_dir).where("piece_no = 1 AND n_pieces > 1").select("row_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
@@ -26,5 +36,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
 SQL: dict[str, str] = {}
