@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chunking, packing, tokens
+from lexweave.llm import chunking, lookalike, packing, tokens
 from lexweave.session import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose bodies only look the same."""
+    return lookalike.equal_looking_pairs(read(spark, sf_dir, "dashes"))
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body in its consistent form."""
+    return lookalike.consistent_bodies(read(spark, sf_dir, "dashes"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized item."""
     return chunking.split_items(read(spark, sf_dir, "numeric_subpoints"), read(spark, sf_dir, "chunk_limits"))
@@ -36,5 +46,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
 SQL: dict[str, str] = {}
