@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chunking, lookalike, packing, tokens
+from lexweave.llm import chunking, lookalike, packing, spans, tokens
 from lexweave.session import read
 
 
@@ -19,6 +19,16 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_bodies(read(spark, sf_dir, "dashes"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared spans of every element."""
+    return spans.shared_spans(read(spark, sf_dir, "btk_mod_1")).drop("body_chars")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each element is shared."""
+    return spans.shared_shares(read(spark, sf_dir, "btk_mod_1"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized item."""
     return chunking.split_items(read(spark, sf_dir, "numeric_subpoints"), read(spark, sf_dir, "chunk_limits"))
@@ -46,5 +56,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
 SQL: dict[str, str] = {}
