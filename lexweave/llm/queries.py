@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chunking, lookalike, packing, spans, tokens
+from lexweave.llm import chunking, lookalike, mojibake, packing, spans, tokens
 from lexweave.session import read
 
 
@@ -29,6 +29,17 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(read(spark, sf_dir, "btk_mod_1"))
 
 
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every garbled field with its wording restored as far as it can be."""
+    fields = mojibake.fields_of(read(spark, sf_dir, "subpoints"))
+    return mojibake.restore_fields(fields, mojibake.fit(fields))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled fields."""
+    return p4_restored(spark, sf_dir).select("row_id", "field_name")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized item."""
     return chunking.split_items(read(spark, sf_dir, "numeric_subpoints"), read(spark, sf_dir, "chunk_limits"))
@@ -56,5 +67,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
 SQL: dict[str, str] = {}
