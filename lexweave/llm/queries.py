@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chunking, lookalike, mojibake, packing, spans, tokens
+from lexweave.llm import chunking, lookalike, mojibake, packing, spam, spans, tokens
 from lexweave.session import read
 
 
@@ -67,5 +67,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-stuffed and link-list pages."""
+    return spam.spam_pages(read(spark, sf_dir, "documents"))
+
+
+def p8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence for every document."""
+    return spam.profiles(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
 SQL: dict[str, str] = {}
