@@ -66,6 +66,8 @@ _LINK = re.compile(r"\[url=[^\]\s]*\].*?\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\
 _TAG = re.compile(r"#[\w-]+")
 _PRICE = re.compile(r"\d[\d  .,]*(?:Ft|HUF|EUR|€|\$|USD)\b|[€$]\s?\d|(?:Ft|HUF|EUR|€)(?=\W|$)", re.I)
 _SEPARATOR = re.compile(r"[,;|·•»›*/>]|\s[-–—]\s|\n")
+#: How items are strung together without a blank, and set apart.
+_APART = (("#", " #"), (")[", ") ["), ("><", "> <"), ("|", " | "), (";", "; "))
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -130,9 +132,11 @@ def echoes(words: list[str]) -> float:
 
 def profile(text: str | None) -> Profile:
     """A page's language, sparse share, evidence and verdict."""
-    lowered = (text or "").lower().split()
-    if len(text or "") < LEAST_CHARS:
+    if text is None or len(text) < LEAST_CHARS or text.isspace():
         return Profile("", 0.0, *_HONEST, False)
+    for joint, apart in _APART:
+        text = text.replace(joint, apart)
+    lowered = text.lower().split()
     hits = {k: sum(map(s.__contains__, lowered)) for k, s in _SETS.items()}
     language = _language(hits)
     limits = LIMITS[language]

@@ -54,7 +54,7 @@ def test_honest(name):
 
 def test_evidence():
     top, again, doubled, links, tags, separators, offers = evidence("a1 x, y, z\na1 x, y, z\na1 x, y, z\na1 x, y, z #t1 http://a.b/c 12 Ft")
-    assert doubled == 0.5 and links > 0.1 and tags > 0.03 and separators > 0.5 and offers > 0 and again > 0.5 and top > 0.9
+    assert doubled == 0.5 and links > 0.1 and tags > 0.03 and separators > 0.5 and offers > 0 and again > 0.5 and top == 16 / 18
     assert echoes("kút kút kút tó tó".split()) == 0.6 and echoes([]) == 0
 
 
