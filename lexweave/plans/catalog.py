@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import nested_queries
+from lexweave.plans import act_queries, citation_queries, line_queries, nested_queries, scalar_queries
 
-MODULES = (nested_queries,)
+MODULES = (citation_queries, act_queries, line_queries, scalar_queries, nested_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
