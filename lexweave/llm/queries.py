@@ -78,4 +78,31 @@ def p8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
-SQL: dict[str, str] = {}
+#: Fixed values for p1_found's SQL: what the characters of `dashes` look like.
+_ALIKE = ("АВСЕНІЈКМОРЅТХУаеорсухѕіјһӧΑΒΕΖΗΙΚΜΝΟΡΤΥΧονίόι", "ABCEHIJKMOPSTXYaeopcyxsijhöABEZHIKMNOPTYXovíói")
+_SPELLED = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ſt"), ("ﬆ", "st"), ("ǉ", "lj"), ("ǈ", "Lj"), ("ǌ", "nj"), ("ǋ", "Nj"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅴ", "V"), ("Ⅵ", "VI"), ("Ⅶ", "VII"), ("Ⅷ", "VIII"), ("Ⅸ", "IX"), ("Ⅹ", "X"), ("Ⅺ", "XI"), ("Ⅻ", "XII"))
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def _form_sql(column: str) -> str:
+    out = f"regexp_replace({column}, '[' || chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279) || ']', '', 'g')"
+    for c, r in _SPELLED:
+        out = f"replace({out}, '{c}', '{r}')"
+    quote = lambda t: t.replace("'", "''")
+    out = f"translate({out}, '{quote(_WIDE[0] + _ALIKE[0])}‐‑', '{quote(_WIDE[1] + _ALIKE[1])}--')"
+    blanks = " || ".join(f"chr({c})" for c in (160, *range(8192, 8203), 8239, 8287, 12288, 9, 10, 13))
+    return f"trim(regexp_replace(nfc_normalize({out}), '[ ' || {blanks} || ']+', ' ', 'g'), ' ')"
+
+
+SQL = {
+    "p1_found": f"""WITH b AS (SELECT row_id, coalesce(text, intro) AS body FROM dashes WHERE coalesce(text, intro) IS NOT NULL), f AS (SELECT row_id, body, {_form_sql("body")} AS form FROM b)
+      SELECT x.row_id AS row_id_a, y.row_id AS row_id_b FROM f x JOIN f y ON x.form = y.form AND x.row_id < y.row_id AND x.body <> y.body""",
+    "p3_found": """WITH e AS (SELECT DISTINCT act_id, element_id, coalesce(text, intro) AS body FROM btk_mod_1 WHERE length(coalesce(text, intro)) >= 120),
+      w AS (SELECT act_id, element_id, p, substring(body, p + 1, 120) AS s FROM (SELECT *, unnest(range(length(body) - 119)) AS p FROM e)),
+      c AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (act_id, element_id)) > 1), h AS (SELECT act_id, element_id, p FROM w SEMI JOIN c USING (s)),
+      i AS (SELECT *, CASE WHEN p > lag(p) OVER o + 120 THEN 1 ELSE 0 END AS d FROM h WINDOW o AS (PARTITION BY act_id, element_id ORDER BY p)), g AS (SELECT *, sum(d) OVER (PARTITION BY act_id, element_id ORDER BY p) AS k FROM i)
+      SELECT act_id, element_id, min(p)::BIGINT AS start_pos, (max(p) + 120)::BIGINT AS end_pos FROM g GROUP BY act_id, element_id, k""",
+    "p5_found": """WITH c AS (SELECT n.row_id, l.max_chars, n.text, n.intro, n.wrap_up, from_json(children, '[{"__type__":"VARCHAR","identifier":"VARCHAR","text":"VARCHAR"}]') AS kids FROM numeric_subpoints n JOIN chunk_limits l USING (kind)),
+      t AS (SELECT row_id, max_chars, CASE WHEN text IS NOT NULL THEN text ELSE array_to_string(list_filter(list_concat([intro], list_transform(coalesce(kids, []), lambda x: x.identifier || CASE WHEN x."__type__" = 'NumericSubpoint' THEN '. ' ELSE ') ' END || x.text), [wrap_up]), lambda x: x IS NOT NULL), ' ') END AS item FROM c)
+      SELECT row_id FROM t WHERE length(item) > max_chars""",
+}
