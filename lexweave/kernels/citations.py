@@ -437,15 +437,24 @@ def _scan(text: str) -> Analysis:
 
 
 def _templates(text: str) -> Iterator[Analysis | None]:
-    yield (m := BLOCK.match(text)) and _block(text, m)
-    yield (m := BLOCK_SUBTITLE.match(text)) and _subtitle(m)
-    yield (m := BLOCK_HEADING.match(text)) and _structural_record("BlockAmendment", m, False)
-    yield (m := BLOCK_BOOK.match(text)) and _structural_record("BlockAmendment", m, False)
-    yield (m := TEXT.match(text)) and _text_amendment(text, m)
-    yield (m := ARTICLE_TITLE.match(text)) and _article_title(m)
-    yield (m := ENFORCEMENT.match(text)) and _enforcement(text, m)
-    yield (m := REPEAL.match(text)) and _repeal(text, m)
-    yield (m := REPEAL_HEADING.match(text)) and _structural_record("Repeal", m, True)
+    """What each template that the sentence can fit makes of it: block amendments end in a colon, the others in a full stop."""
+    end = text.rstrip()[-1:]
+    if end == ":":
+        yield (m := BLOCK.match(text)) and _block(text, m)
+        if "alcím" in text:
+            yield (m := BLOCK_SUBTITLE.match(text)) and _subtitle(m)
+        yield (m := BLOCK_HEADING.match(text)) and _structural_record("BlockAmendment", m, False)
+        if "Könyve" in text:
+            yield (m := BLOCK_BOOK.match(text)) and _structural_record("BlockAmendment", m, False)
+    elif end == ".":
+        if "szövegrész" in text and "lép" in text:
+            yield (m := TEXT.match(text)) and _text_amendment(text, m)
+            yield (m := ARTICLE_TITLE.match(text)) and _article_title(m)
+        if "hatályba" in text:
+            yield (m := ENFORCEMENT.match(text)) and _enforcement(text, m)
+        if text.lstrip().startswith(("Hatályát", "Nem lép")):
+            yield (m := REPEAL.match(text)) and _repeal(text, m)
+            yield (m := REPEAL_HEADING.match(text)) and _structural_record("Repeal", m, True)
 
 
 #: What the templates need; each sentence is tried against those it can fit.

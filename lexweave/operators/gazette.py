@@ -69,7 +69,7 @@ def _cut_acts(pdf: pd.DataFrame) -> Iterator[tuple]:
         start = i
         while i < n and not (i - start >= 3 and not content[i - 2] and _FOOTER.match(content[i])):
             i += 1
-        yield act, " ".join(subject).rstrip("*"), start, min(i - 2, n), i < n
+        yield act, " ".join(subject).rstrip("*"), start, i - 2 if i < n else n, i < n
         i += 1
 
 

@@ -33,3 +33,12 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], functio
         yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
 
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by hash of keys, if it comes from fewer files than there are cores; else as it lies.
+
+    For work that costs far more than moving a row. Large tables have files enough and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *keys) if len(df._jdf.inputFiles()) < cores else df

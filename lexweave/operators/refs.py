@@ -17,6 +17,11 @@ LEVEL_TYPE = "struct<first:string,last:string>"
 REF_TYPE = f"struct<act:string,{','.join(f'{x}:{LEVEL_TYPE}' for x in LEVELS)}>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def level(first: Column, last: Column | None = None) -> Column:
     """One level from its identifiers; null if the first is."""
     return F.when(first.isNotNull(), F.struct(first.alias("first"), F.coalesce(last, first).alias("last") if last is not None else first.alias("last"))).cast(LEVEL_TYPE)
@@ -70,14 +75,14 @@ def sort_key(r: Column, which: str = "first") -> Column:
 
 def is_parent_of(a: Column, b: Column) -> Column:
     """Do two keys name an ancestor and one of its descendants?"""
-    depth = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(F.size(F.get(a, i)) > 0, i + 1).otherwise(F.lit(0))))
-    return (F.slice(a, 1, F.greatest(depth, F.lit(1))) == F.slice(b, 1, F.greatest(depth, F.lit(1)))) & (a != b) | ((depth == 0) & (a != b))
+    depth = F.aggregate(a, F.struct(F.lit(0).alias("i"), F.lit(0).alias("d")), lambda s, x: F.struct((s["i"] + 1).alias("i"), F.when(F.size(x) > 0, s["i"] + 1).otherwise(s["d"]).alias("d")), lambda s: s["d"])
+    return _let(F.struct(a.alias("a"), b.alias("b"), depth.alias("d")), lambda k: (k["a"] != k["b"]) & ((k["d"] == 0) | (F.slice(k["a"], 1, F.greatest(k["d"], F.lit(1))) == F.slice(k["b"], 1, F.greatest(k["d"], F.lit(1))))))
 
 
 def contains(outer: Column, inner: Column) -> Column:
     """Does a (range of) places hold another, whatever their depths?"""
-    lo, hi, first, last = sort_key(outer), sort_key(outer, "last"), sort_key(inner), sort_key(inner, "last")
-    return ((lo <= first) | is_parent_of(lo, first)) & ((hi >= last) | is_parent_of(hi, last))
+    keys = F.struct(sort_key(outer).alias("lo"), sort_key(outer, "last").alias("hi"), sort_key(inner).alias("first"), sort_key(inner, "last").alias("last"))
+    return _let(keys, lambda k: ((k["lo"] <= k["first"]) | is_parent_of(k["lo"], k["first"])) & ((k["hi"] >= k["last"]) | is_parent_of(k["hi"], k["last"])))
 
 
 def is_relative(r: Column) -> Column:
@@ -103,15 +108,13 @@ def id_string(r: Column) -> Column:
 
 def from_id_string(s: Column, act: Column | None = None) -> Column:
     """The inverse of id_string."""
-    parts = F.split(s, "_")
     read = lambda c: F.replace(F.replace(c, F.lit("slash"), F.lit("/")), F.lit("colon"), F.lit(":"))
 
-    def one(i: int) -> Column:
-        p = F.get(parts, i)
-        ends = F.split(read(p), "-")
-        return level(F.when(F.coalesce(p, F.lit("")) != "", F.get(ends, 0)), F.get(ends, F.size(ends) - 1))
+    def one(ends: Column) -> Column:
+        return level(F.when(F.get(ends, 0) != "", F.get(ends, 0)), F.get(ends, F.size(ends) - 1))
 
-    return ref(act, **{x: one(i) for i, x in enumerate(LEVELS)})
+    levels = F.transform(F.split(s, "_"), lambda p: one(F.split(read(p), "-")))
+    return _let(levels, lambda v: ref(act, **{x: F.get(v, i) for i, x in enumerate(LEVELS)}))
 
 
 def last_component(r: Column) -> Column:

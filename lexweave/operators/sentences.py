@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.kernels.citations import MAX_SENTENCE, NEEDLES, Analysis, Ref, analyze
+from lexweave.operators.groups import spread
 
 REF_COLUMNS = ("act", *(f"{x}_{e}" for x in ("article", "paragraph", "point", "subpoint") for e in ("first", "last")))
 STRUCTURAL = ("book", "part", "title", "chapter", "subtitle", "special_position", "special_article")
@@ -65,7 +66,7 @@ def analyze_sentences(df: DataFrame, keys: Sequence[str], text: str) -> DataFram
     Defined cases: null, empty, uninteresting and over-long texts have no row; a date that isn't in the calendar is null; repeated rows
     are analysed each; columns other than keys and text are not read.
     """
-    plain = df.where(interesting(F.col(text))).select(*keys, F.col(text).alias("_text"))
+    plain = spread(df.where(interesting(F.col(text))).select(*keys, F.col(text).alias("_text")), *keys)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in plain.dtypes[:-1]), *(f"{c} {t}" for c, _, t in _FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,4 +13,4 @@ SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    return nested_queries.p2_found(spark, sf_dir)
+    return citation_queries.enforcement_dates(spark, sf_dir)

@@ -37,7 +37,7 @@ def _pad(s: Column, width: int) -> Column:
     return F.rpad(s, F.greatest(F.lit(width), F.length(s)), F.lit(" "))
 
 
-def wrap(s: Column, width: int) -> Column:
+def wrap(s: Column, width: Column | int) -> Column:
     """Lines of at most width characters, broken at blanks; a longer word stands alone."""
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
@@ -50,17 +50,26 @@ def wrap(s: Column, width: int) -> Column:
     return F.aggregate(words, start, step, lambda a: F.concat(a["done"], F.when(a["line"] != "", F.array(a["line"])).otherwise(F.array().cast("array<string>"))))
 
 
+def _hanging(indent: Column, head: Column, body: Column, width: int) -> Column:
+    """Wrapped text behind a head; its further lines stand below its first."""
+    room = F.greatest(F.lit(10), width - F.length(indent) - F.length(head))
+    lines = wrap(body, room)
+    lines = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))
+    return F.array_join(F.transform(lines, lambda x, i: F.rtrim(F.concat(indent, F.when(i == 0, head).otherwise(F.repeat(F.lit(" "), F.length(head))), x))), "\n")
+
+
 def txt(elements: DataFrame, width: int = 90) -> DataFrame:
-    """act_id, txt: every act as plain text, elements indented by depth, words wrapped."""
-    head = F.when(F.col("kind") == "Article", _pad(F.concat("identifier", F.lit(". §")), 10)).otherwise(_pad(header_prefix(F.col("kind"), F.col("identifier")), 5))
-    heading = F.concat_ws(" ", F.when(formatted_heading(F.col("kind"), F.col("identifier"), F.col("special")) != "", formatted_heading(F.col("kind"), F.col("identifier"), F.col("special"))), F.col("title"))
-    body = F.when(F.col("kind").isin("Book", "Part", "Title", "Chapter", "Subtitle"), heading).when(F.col("kind") == "Article", F.concat(head, F.coalesce(F.concat(F.lit("["), "title", F.lit("]")), F.lit("")))).otherwise(F.concat(head, F.coalesce("text", "intro", F.lit(""))))
+    """act_id, txt: every act as plain text of at most width characters, elements indented by depth, words wrapped."""
+    kind, is_heading = F.col("kind"), F.col("kind").isin("Book", "Part", "Title", "Chapter", "Subtitle")
+    head = F.when(is_heading, F.lit("")).when(kind == "Article", _pad(F.concat("identifier", F.lit(". §")), 10)).otherwise(_pad(header_prefix(kind, F.col("identifier")), 5))
+    heading = formatted_heading(kind, F.col("identifier"), F.col("special"))
+    body = F.when(is_heading, F.concat_ws(" ", F.when(heading != "", heading), F.col("title"))).when(kind == "Article", F.coalesce(F.concat(F.lit("["), "title", F.lit("]")), F.lit(""))).otherwise(F.coalesce("text", "intro", F.lit("")))
     indent = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("depth")) * 5)
-    lines = F.array_join(F.transform(wrap(body, width), lambda x: F.concat(F.col("indent"), x)), "\n")
-    quoted = F.array_join(F.concat(F.array(F.lit("„")), F.transform("quoted", lambda q: q["content"]), F.array(F.lit("”"))), "\n") if "quoted" in elements.columns else F.lit(None).cast("string")
-    pieces = elements.withColumn("indent", indent).select("act_id", "path", F.coalesce(quoted, lines).alias("piece"), F.lit(0).alias("late"))
+    e = elements.withColumn("_indent", indent).withColumn("_head", head).withColumn("_body", body)
+    quoted = F.array_join(F.concat(F.array(F.concat("_indent", F.lit("„"))), F.transform("quoted", lambda q: F.concat("_indent", F.lit("     "), q["content"])), F.array(F.concat("_indent", F.lit("”")))), "\n") if "quoted" in elements.columns else F.lit(None).cast("string")
+    pieces = e.select("act_id", "path", F.coalesce(quoted, _hanging(F.col("_indent"), F.col("_head"), F.col("_body"), width)).alias("piece"), F.lit(0).alias("late"))
     # A wrap-up stands after all that is below its element: its path sorts behind theirs.
-    after = elements.where("wrap_up IS NOT NULL AND wrap_up <> ''").withColumn("indent", indent).select("act_id", F.concat("path", F.array(F.lit(2**31 - 1))).alias("path"), F.array_join(F.transform(wrap(F.col("wrap_up"), width), lambda x: F.concat(F.col("indent"), x)), "\n").alias("piece"), F.lit(1).alias("late"))
+    after = e.where("wrap_up IS NOT NULL AND wrap_up <> ''").select("act_id", F.concat("path", F.array(F.lit(2**31 - 1))).alias("path"), _hanging(F.col("_indent"), F.repeat(F.lit(" "), F.length("_head")), F.col("wrap_up"), width).alias("piece"), F.lit(1).alias("late"))
     return _together(pieces.unionByName(after), "\n").select("act_id", F.col("document").alias("txt"))
 
 
