@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.tokens import Tokenizer, count_column
+from lexweave.llm.tokens import Tokenizer, count_tokens
 from lexweave.session import cut_lineage
 
 
@@ -149,5 +149,5 @@ def pack(sizes: DataFrame, limits: Limits = Limits(), block: int = BLOCK_PIECES,
 
 def pack_documents(docs: DataFrame, limits: Limits = Limits(), tok: Tokenizer = Tokenizer()) -> DataFrame:
     """Containers of whole documents; every token of plain text bears loss. Null, empty texts need no place."""
-    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), count_column(F.col("text").cast("string"), tok).alias("n_tokens"))
+    sized = count_tokens(docs, tok=tok)
     return pack(sized.withColumn("loss_tokens", F.col("n_tokens")), limits)

@@ -158,15 +158,18 @@ def encode_column(text: Column, tok: Tokenizer = Tokenizer()) -> Column:
     return ids(text)
 
 
-def count_column(text: Column, tok: Tokenizer = Tokenizer()) -> Column:
-    """Number of tokens of each text, encoded in one piece."""
+def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok: Tokenizer = Tokenizer()) -> DataFrame:
+    """doc_id and n_tokens of every row; null and empty texts have none.
 
-    @F.arrow_udf(T.IntegerType())
-    def count(texts: pa.Array) -> pa.Array:
+    A map and not a column: filters on the count would be pushed below a column and have every text encoded twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tok)
-        return pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int32())
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()], pa.int32())], names=["doc_id", "n_tokens"])
 
-    return count(text)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens int")
 
 
 def _long_ids(long: DataFrame, tok: Tokenizer, leaf_chars: int) -> DataFrame:
