@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from lexweave.operators.scans import previous
 
+MAX_CONTEXT = 9
+
 
 def hits(lines: DataFrame, fixups: DataFrame) -> DataFrame:
-    """Lines with the patch that applies to them. fixups: act_id, seq, op, needle, replacement, prev_line (null: any).
+    """act_id, line_no, seq of the lines that a patch applies to. fixups: act_id, seq, op, needle, replacement, prev_lines (null or empty:
+    any; else the contents of the lines right before, in order).
 
-    Acts are matched by id, lines by their exact content and, where given, the content of the line before. The join is left to the
-    optimizer: patches are few, but nothing here assumes it.
+    Lines meet patches by act and exact content. Context is looked up by joins on line numbers, only for lines that match so far, so
+    no act is gathered in one place. Context lines are taken as they stood before any patch.
     """
-    before = previous(lines, ["act_id"], "line_no", ["content"])
-    f = fixups.select(F.col("act_id").alias("f_act"), "seq", "op", F.col("needle").alias("f_needle"), "replacement", "prev_line")
-    on = (F.col("act_id") == F.col("f_act")) & (F.col("content") == F.col("f_needle")) & (F.col("prev_line").isNull() | F.col("prev_line").eqNullSafe(F.col("prev_content")))
-    return before.join(f, on, "left")
+    f = fixups.select(F.col("act_id").alias("f_act"), "seq", F.col("needle").alias("f_needle"), F.coalesce("prev_lines", F.array().cast("array<string>")).alias("f_prev"))
+    same = lines.join(f, (F.col("act_id") == F.col("f_act")) & (F.col("content") == F.col("f_needle"))).select("act_id", "line_no", "seq", "f_prev")
+    wanted = same.select("act_id", "line_no", "seq", F.size("f_prev").alias("n"), F.posexplode_outer("f_prev").alias("i", "expected")).withColumn("at", F.col("line_no") - F.col("n") + F.col("i"))
+    there = lines.select(F.col("act_id").alias("t_act"), F.col("line_no").alias("at"), F.col("content").alias("found"))
+    checked = wanted.join(there, (F.col("act_id") == F.col("t_act")) & (wanted["at"] == there["at"]), "left")
+    return checked.groupBy("act_id", "line_no", "seq", "n").agg(F.sum(F.coalesce((F.col("found") == F.col("expected")).cast("int"), F.lit(0))).alias("ok")).where("ok = n").select("act_id", "line_no", "seq")
 
 
 def apply_fixups(lines: DataFrame, fixups: DataFrame) -> DataFrame:
@@ -27,7 +32,7 @@ def apply_fixups(lines: DataFrame, fixups: DataFrame) -> DataFrame:
     patch stay.
     """
     found = hits(lines, fixups)
-    once = found.where("seq IS NOT NULL").groupBy("act_id", "seq").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")).where("n = 1")
+    once = found.groupBy("act_id", "seq").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")).where("n = 1")
     f = fixups.select("act_id", "seq", "op", "replacement")
     patch = once.join(f, ["act_id", "seq"]).groupBy("act_id", "line_no").agg(F.min_by(F.struct("op", "replacement"), "seq").alias("p"))
     joined = lines.join(patch, ["act_id", "line_no"], "left")
@@ -40,7 +45,7 @@ def apply_fixups(lines: DataFrame, fixups: DataFrame) -> DataFrame:
 
 def failed_fixups(lines: DataFrame, fixups: DataFrame) -> DataFrame:
     """act_id, seq, hits of the patches that hit no line or more than one."""
-    n = hits(lines, fixups).where("seq IS NOT NULL").groupBy("act_id", "seq").agg(F.count("*").alias("hits"))
+    n = hits(lines, fixups).groupBy("act_id", "seq").agg(F.count("*").alias("hits"))
     return fixups.select("act_id", "seq").join(n, ["act_id", "seq"], "left").select("act_id", "seq", F.coalesce("hits", F.lit(0)).alias("hits")).where("hits <> 1")
 
 
@@ -53,3 +58,25 @@ def bracketed_titles(lines: DataFrame) -> DataFrame:
     moved = marked.where("hit").select("act_id", (F.col("line_no") - 1).alias("line_no"), F.concat(F.regexp_extract("content", article, 1), F.lit("["), F.regexp_extract("prev_content", title, 1), F.lit("]")).alias("new"))
     kept = marked.join(moved, ["act_id", "line_no"], "left")
     return kept.select("act_id", "line_no", F.coalesce("new", F.when(F.col("hit"), F.regexp_extract("content", article, 2)), "content").alias("content"))
+
+
+def make_fixups(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Patches (act_id, seq, op, needle, replacement, prev_lines) that turn lines into their edited form, line by line (an empty edit
+    deletes): with as few lines of context, up to MAX_CONTEXT, as make each hit its line alone. What stays ambiguous has null prev_lines.
+
+    Each length of context is one aggregation over the lines that are still ambiguous.
+    """
+    new = after.select("act_id", "line_no", F.col("content").alias("edited"))
+    changed = before.join(new, ["act_id", "line_no"]).where("content <> edited")
+    seq = changed.select("act_id", "line_no", "content", "edited", (F.col("line_no") + 1).alias("seq"))
+    # All lines with the content of a changed one compete with it.
+    rivals = before.join(changed.select("act_id", "content").distinct(), ["act_id", "content"], "left_semi").select("act_id", "line_no", "content", F.array().cast("array<string>").alias("context"))
+    done = None
+    for k in range(MAX_CONTEXT + 1):
+        unique = rivals.groupBy("act_id", "content", "context").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+        alone = unique.where("n = 1").select("act_id", "line_no", F.lit(k).alias("k"), "context")
+        done = alone if done is None else done.unionByName(alone)
+        above = before.select("act_id", (F.col("line_no") + k + 1).alias("line_no"), F.col("content").alias("above"))
+        rivals = rivals.join(above, ["act_id", "line_no"], "left").select("act_id", "line_no", "content", F.when(F.col("above").isNull(), F.col("context")).otherwise(F.concat(F.array("above"), "context")).alias("context"))
+    least = done.groupBy("act_id", "line_no").agg(F.min_by("context", "k").alias("prev_lines"))
+    return seq.join(least, ["act_id", "line_no"], "left").select("act_id", "seq", F.when(F.col("edited") == "", F.lit("delete")).otherwise(F.lit("replace")).alias("op"), F.col("content").alias("needle"), F.col("edited").alias("replacement"), "prev_lines")

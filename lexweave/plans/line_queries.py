@@ -99,7 +99,7 @@ def act_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("act_id"), "line_no", "content")
     kind = F.element_at(F.array(F.lit("replace"), F.lit("delete"), F.lit("empty_after")), (F.pmod("act_id", F.lit(3)) + 1).cast("int"))
-    patches = lines.where("line_no = 0").select("act_id", F.lit(1).alias("seq"), kind.alias("op"), F.col("content").alias("needle"), F.lit("JAVÍTVA").alias("replacement"), F.lit(None).cast("string").alias("prev_line"))
+    patches = lines.where("line_no = 0").select("act_id", F.lit(1).alias("seq"), kind.alias("op"), F.col("content").alias("needle"), F.lit("JAVÍTVA").alias("replacement"), F.array().cast("array<string>").alias("prev_lines"))
     return lines, patches
 
 
@@ -114,7 +114,31 @@ def fixup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixups.failed_fixups(*_patched(spark, sf_dir)).select(F.col("act_id").alias("doc_id"), "hits")
 
 
-QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, fixup_apply, fixup_missing)}
+def fixup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document that equals an earlier one, edited: patches with the least context, per document and length of context."""
+    lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("act_id"), "line_no", "content")
+    edited = lines.withColumn("content", F.when(F.pmod("line_no", F.lit(5)) == 4, F.concat("content", F.lit(" (javítva)"))).otherwise(F.col("content")))
+    made = fixups.make_fixups(lines, edited)
+    return made.groupBy(F.col("act_id").alias("doc_id"), F.coalesce(F.size("prev_lines"), F.lit(-1)).cast("bigint").alias("context")).agg(F.count("*").alias("n"))
+
+
+def issue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every year's issues (order days stand for them), those before the first that is missing."""
+    from lexweave.sources.lines import until_missing
+
+    o = read(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("bigint").alias("year"), (F.pmod("o_custkey", F.lit(400)) + 1).alias("issue")).distinct()
+    return until_missing(o.where("(issue + year) % 97 <> 0"), "year", "issue")
+
+
+def html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags that every text of a document stands in."""
+    from lexweave.sources.lines import html_stack
+
+    docs = read(spark, sf_dir, "documents").where(F.col("text").contains("<"))
+    return html_stack(docs, "doc_id", "text").select(F.col("page_id").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), F.array_join("stack", "/").alias("path"), "text")
+
+
+QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, fixup_apply, fixup_missing, fixup_context, issue_scan, html_paths)}
 _CHANGES = "length(content) - length(replace(replace(content, '„', ''), '“', '')) - (length(content) - length(replace(content, '”', '')))"
 SQL = {
     "doc_lines": f"WITH {LINES_SQL} SELECT * FROM lines",
@@ -143,4 +167,6 @@ SQL = {
       n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
       SELECT * FROM (SELECT doc_id, (n + CASE WHEN hits = 1 AND doc_id % 3 = 1 THEN -1 WHEN hits = 1 AND doc_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS n_lines, (hits = 1 AND doc_id % 3 = 0)::BIGINT AS replaced, (hits = 1 AND doc_id % 3 = 2)::BIGINT AS added FROM n JOIN h USING (doc_id)) WHERE n_lines > 0""",
     "fixup_missing": f"WITH {LINES_SQL}, f AS (SELECT doc_id, content AS needle FROM lines WHERE line_no = 0) SELECT l.doc_id, count(*)::BIGINT AS hits FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.content = f.needle GROUP BY l.doc_id HAVING count(*) <> 1",
+    "issue_scan": """WITH o AS (SELECT DISTINCT year(o_orderdate)::BIGINT AS year, (o_custkey % 400 + 1)::BIGINT AS issue FROM orders), k AS (SELECT * FROM o WHERE (issue + year) % 97 <> 0),
+      m AS (SELECT year, issue, row_number() OVER (PARTITION BY year ORDER BY issue) AS n FROM k) SELECT year, issue FROM m WHERE issue = n""",
 }

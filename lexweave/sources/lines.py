@@ -100,3 +100,44 @@ def issue_file(year: Column, issue: Column) -> Column:
 
 def with_quote_change(lines: DataFrame) -> DataFrame:
     return lines.withColumn("quote_change", quote_change(F.col("content")))
+
+
+#: Tags of HTML that have no end.
+_VOID = ("br", "img", "hr", "meta", "link", "input")
+
+
+def html_stack(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """page_id, pos, stack, text: every text with the open tags it stands in; an end tag closes what was opened since its tag, and one
+    without a beginning nothing. A page is one row, so the stack is folded within it."""
+    tokens = F.regexp_extract_all(F.col(html), F.lit(r"(<[^>]*>|[^<]+)"), F.lit(1))
+    kind = "struct<stack:array<string>,out:array<struct<stack:array<string>,text:string>>>"
+    tag = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z0-9]+)", 1))
+
+    def step(a: Column, t: Column) -> Column:
+        depth = F.size(a["stack"]) - F.array_position(F.reverse(a["stack"]), tag(t)).cast("int")
+        popped = F.when(F.array_contains(a["stack"], tag(t)), F.slice(a["stack"], F.lit(1), depth)).otherwise(a["stack"])
+        opened = F.when(tag(t).isin(*_VOID) | t.endswith("/>") | (tag(t) == ""), a["stack"]).otherwise(F.concat(a["stack"], F.array(tag(t))))
+        stack = F.when(t.startswith("</"), popped).when(t.startswith("<"), opened).otherwise(a["stack"])
+        text = F.trim(F.regexp_replace(t, "&nbsp;|\u00a0|\\s", " "))
+        out = F.when(t.startswith("<") | (text == ""), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["stack"].alias("stack"), text.alias("text")))))
+        return F.struct(stack.alias("stack"), out.alias("out")).cast(kind)
+
+    zero = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<stack:array<string>,text:string>>").alias("out")).cast(kind)
+    each = pages.select(F.col(page_id).alias("page_id"), F.posexplode(F.aggregate(tokens, zero, step)["out"]).alias("pos", "t"))
+    return each.select("page_id", "pos", "t.stack", "t.text")
+
+
+def until_missing(found: DataFrame, group: str, number: str) -> DataFrame:
+    """Of the numbers found in each group, those of the unbroken run from 1. Repeated numbers count once; nulls are none.
+
+    A number belongs to the run if as many numbers up to it were found; only distinct numbers are ranked.
+    """
+    w = Window.partitionBy(group).orderBy(number)
+    once = found.select(group, number).where(F.col(number).isNotNull()).distinct()
+    return once.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == F.col(number)).drop("_rank")
+
+
+def glyph_conflicts(boxes: DataFrame) -> DataFrame:
+    """issue_id, page_no, y, x, contents of places where different characters are drawn on each other."""
+    by = boxes.groupBy("issue_id", "page_no", "y", "x").agg(F.array_sort(F.collect_set("content")).alias("contents"))
+    return by.where(F.size("contents") > 1)

@@ -82,3 +82,12 @@ def test_reference_parts(spark):
     got = spark.range(1).select(refs.id_string(r).alias("s"), refs.href(r).alias("h"), refs.is_range(r).alias("g"), refs.is_relative(r).alias("l"), refs.last_component(r).alias("k"), refs.id_string(refs.parent(r)).alias("p"), refs.id_string(refs.endpoint(r, "last")).alias("e"), refs.id_string(refs.make_range(refs.endpoint(r, "first"), refs.endpoint(r, "last"))).alias("m")).first()
     assert (got.s, got.h, got.g, got.l) == ("3colon1slashA_2-4__", "A.html#3colon1slashA_2-4__", True, False)
     assert tuple(got.k) == ("Paragraph", "2", "4") and got.p == "3colon1slashA___" and got.e == "3colon1slashA_4__" and got.m == got.s
+
+
+def test_parts_of_lines(spark):
+    line = [(10.0, "a", False), (5.0, "b", True), (9.0, "ffi", False), (15.0, "c", False)]
+    df = spark.createDataFrame([(line, [1, 2, 1, 2, 1], ["x", "|", "y", "z", "|"], 0xF5, "Ő")], "p array<struct<dx:double,content:string,bold:boolean>>, l array<int>, s array<string>, n int, d string")
+    parts = lambda c: [tuple(x) for x in c] if c is not None else None
+    r = df.select(text.slice_line(F.col("p"), 1, 5).alias("a"), text.slice_line(F.col("p"), -1).alias("b"), text.slice_line(F.col("p"), 3).alias("c"), text.concat_lines(F.array(text.slice_line(F.col("p"), 0, 1), text.slice_line(F.col("p"), 5))).alias("d"), text.count_sublists(F.col("l"), F.array(F.lit(1), F.lit(2))).alias("e"), text.split_list(F.col("s"), F.lit("|")).alias("f"), text.latin2_char(F.col("n")).alias("g"), text.fix_glyph_case(F.col("d"), F.col("n")).alias("h")).first()
+    assert parts(r.a) == [(15.0, "b", True), (9.0, "ffi", False)] and parts(r.b) == [(39.0, "c", False)] and r.c is None
+    assert parts(r.d) == [(10.0, "a", False), (29.0, "c", False)] and r.e == 2 and r.f == [["x"], ["y", "z"], []] and (r.g, r.h) == ("ő", "ő")

@@ -56,6 +56,17 @@ def test_html(spark):
     assert [tuple(r) for r in issue_index(df, "id", "html").collect()] == [(1, "2015. évi I. törvény", "A kút rendje")]
 
 
+def test_html_stack_and_runs(spark):
+    from lexweave.sources.lines import glyph_conflicts, html_stack, until_missing
+
+    df = spark.createDataFrame([(1, "<a><b>x<br>y</a>z</i><c>w"), (2, None)], "id int, html string")
+    assert [("/".join(r.stack), r.text) for r in html_stack(df, "id", "html").orderBy("pos").collect()] == [("a/b", "x"), ("a/b", "y"), ("", "z"), ("c", "w")]
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 4), ("b", 2), ("c", None)], "g string, n int")
+    assert sorted(map(tuple, until_missing(found, "g", "n").collect())) == [("a", 1), ("a", 2)]
+    boxes = spark.createDataFrame([("i", 1, 1.0, 1.0, "a"), ("i", 1, 1.0, 1.0, "b"), ("i", 1, 1.0, 2.0, "c"), ("i", 1, 1.0, 2.0, "c")], "issue_id string, page_no int, y double, x double, content string")
+    assert [r.contents for r in glyph_conflicts(boxes).collect()] == [["a", "b"]]
+
+
 def test_gazette(spark):
     rows = [("g", 1, i, c) for i, c in enumerate(["MAGYAR KÖZLÖNY", "", "x", "2011. június 28., kedd", "", "bevezető"])] + [("h", 1, 0, "más")]
     rows += [("g", 2, i, c) for i, c in enumerate(["fej", "", gazette.LAWS, "", "2011. évi IX. törvény", "a kútról", "szóló*", "1. § A.", "", "* jegyzet", "", "2. § B.", "", "X Y", "köztársasági elnök az Országgyűlés elnöke"])]
@@ -70,9 +81,13 @@ def test_gazette(spark):
 
 def test_fixups(spark):
     lines = spark.createDataFrame([("A", i, c) for i, c in enumerate(["x", "y", "x", "z", "w"])] + [("B", 0, "y")], LINE)
-    patches = spark.createDataFrame([("A", 1, "replace", "x", "X", "y"), ("A", 2, "delete", "z", None, None), ("A", 3, "empty_after", "w", None, None), ("A", 4, "replace", "x", "!", None), ("B", 1, "delete", "q", None, None), ("C", 1, "delete", "q", None, None)], "act_id string, seq int, op string, needle string, replacement string, prev_line string")
+    patches = spark.createDataFrame([("A", 1, "replace", "x", "X", ["x", "y"]), ("A", 2, "delete", "z", None, None), ("A", 3, "empty_after", "w", None, None), ("A", 4, "replace", "x", "!", None), ("B", 1, "delete", "q", None, None), ("C", 1, "delete", "q", None, None)], "act_id string, seq int, op string, needle string, replacement string, prev_lines array<string>")
     assert [(r.act_id, r.content) for r in fixups.apply_fixups(lines, patches).orderBy("act_id", "line_no", "sub_no").collect()] == [("A", "x"), ("A", "y"), ("A", "X"), ("A", "w"), ("A", ""), ("B", "y")]
     assert sorted(tuple(r) for r in fixups.failed_fixups(lines, patches).collect()) == [("A", 4, 2), ("B", 1, 0), ("C", 1, 0)]
+    edited = spark.createDataFrame([("A", i, c) for i, c in enumerate(["x", "y", "X!", "", "w"])], LINE)
+    made = fixups.make_fixups(lines, edited)
+    assert sorted((r.op, r.needle, r.prev_lines) for r in made.collect()) == [("delete", "z", []), ("replace", "x", ["y"])]
+    assert [r.content for r in fixups.apply_fixups(lines.where("act_id = 'A'"), made).orderBy("line_no").collect()] == ["x", "y", "X!", "w"]
     titled = spark.createDataFrame([("A", 0, "(A 3. §-hoz)"), ("A", 1, "2. § Szöveg"), ("A", 2, "tovább")], LINE)
     assert [r.content for r in fixups.bracketed_titles(titled).orderBy("line_no").collect()] == ["2. § [A 3. §-hoz]", "Szöveg", "tovább"]
 
