@@ -6,6 +6,7 @@ kinds may stand below it. One routine works on ranges of lines for all of them.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from typing import Any, NamedTuple
@@ -69,7 +70,9 @@ def element(kind: str, identifier: str | None, **fields: Any) -> dict[str, Any]:
     return {"kind": kind, "identifier": identifier, "title": None, "special": None, "text": None, "intro": None, "wrap_up": None, "lines": None, "children": []} | fields
 
 
+@functools.lru_cache(maxsize=50_000)
 def quote_change(s: str) -> int:
+    """Quotes opened less quotes closed."""
     return sum(s.count(c) for c in OPENING) - s.count(CLOSING)
 
 
@@ -96,6 +99,7 @@ def joined(lines: Sequence[Line] | Sequence[str]) -> str:
     return out
 
 
+@functools.lru_cache(maxsize=1_000)
 def _header(kind: str, prefix: str) -> re.Pattern:
     if kind == "AlphabeticSubpoint" and prefix:
         return re.compile(rf"({re.escape(prefix)}[a-z]|ny|sz)\) ")

@@ -17,7 +17,8 @@ from lexweave.functions.text import fix_list_end, quote_change, split_amendment_
 from lexweave.kernels import structure as S
 from lexweave.kernels.citations import Ref, analyze
 from lexweave.operators.groups import map_groups
-from lexweave.operators.scans import previous, running_sum
+from lexweave.operators.scans import BLOCK_ROWS, running_count, running_sum
+from lexweave.session import cut_lineage
 
 ELEMENTS_SCHEMA = "act_id string, element_no bigint, element_id string, parent_id string, kind string, ord int, depth int, path array<int>, identifier string, title string, special boolean, text string, intro string, wrap_up string, in_amendment boolean, quoted array<struct<content:string,indent:double>>, error string"
 _ARROW = pa.schema([
@@ -41,9 +42,11 @@ def _line(r: dict) -> S.Line:
 def with_element_no(lines: DataFrame) -> DataFrame:
     """Adds element_no to act_id, line_no, content, indent, margin_right, bold, is_empty, gaps: the number of the article or heading that
     a line belongs to, 0 in the preamble. line_no is dense."""
-    levels = running_sum(lines.withColumn("_change", quote_change(F.col("content"))), ["act_id"], "line_no", F.col("_change"), "quote_level", inclusive=False)
-    near = previous(levels, ["act_id"], "line_no", ["is_empty"])
-    candidates = near.where((F.col("quote_level") == 0) & (F.col("content").rlike(LOOKS_LIKE_HEADER) | (F.col("bold") & ~F.col("is_empty")))).select("act_id", "line_no", "content", "indent", "bold", "prev_is_empty")
+    levels = running_sum(lines.withColumn("_change", quote_change(F.col("content"))), ["act_id"], "line_no", F.col("_change"), "quote_level", inclusive=False, also={"prev_is_empty": lambda w: F.lag("is_empty").over(w)})
+    looks = levels.where((F.col("quote_level") == 0) & (F.col("content").rlike(LOOKS_LIKE_HEADER) | (F.col("bold") & ~F.col("is_empty")))).select("act_id", "line_no", "content", "indent", "bold", "prev_is_empty")
+    # The first line of a block doesn't see the one before, which is the last of another block.
+    last = lines.where(F.col("line_no") % BLOCK_ROWS == BLOCK_ROWS - 1).select(F.col("act_id").alias("l_act"), (F.col("line_no") + 1).alias("l_next"), F.col("is_empty").alias("l_empty"))
+    candidates = looks.join(last, (F.col("act_id") == F.col("l_act")) & (F.col("line_no") == F.col("l_next")), "left").withColumn("prev_is_empty", F.coalesce("prev_is_empty", "l_empty")).drop("l_act", "l_next", "l_empty")
 
     def accept(found: list[dict]) -> Iterator[dict]:
         walk = S.Walk()
@@ -54,8 +57,9 @@ def with_element_no(lines: DataFrame) -> DataFrame:
 
     arrow = pa.schema([("act_id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("identifier", pa.string()), ("special", pa.bool_())])
     accepted = map_groups(candidates, ["act_id"], ["line_no"], accept, "act_id string, line_no int, kind string, identifier string, special boolean", arrow)
-    marked = levels.join(accepted.select("act_id", "line_no", F.struct("kind", "identifier", "special").alias("begins")), ["act_id", "line_no"], "left")
-    return running_sum(marked, ["act_id"], "line_no", F.col("begins").isNotNull().cast("int"), "element_no")
+    # Both the lines and the totals of their blocks need what was accepted, a row per article.
+    begins = cut_lineage(accepted.select("act_id", "line_no", F.struct("kind", "identifier", "special").alias("begins")))
+    return running_count(lines, ["act_id"], "line_no", begins, "element_no")
 
 
 def _rows(found: list[dict]) -> Iterator[dict]:

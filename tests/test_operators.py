@@ -5,7 +5,7 @@ from lexweave.operators import elements as E
 from lexweave.operators import fixups, gazette
 from lexweave.operators import sentences as S
 from lexweave.operators.groups import map_groups
-from lexweave.operators.scans import previous, running_sum
+from lexweave.operators.scans import previous, running_count, running_sum
 from lexweave.sinks import render
 from lexweave.sources.lines import glyph_lines, html_texts, issue_index, text_lines
 from lexweave.streaming.landing import not_done, run_landed
@@ -23,6 +23,14 @@ def test_running_sum_over_blocks_equals_window(spark):
     assert running_sum(df.limit(0), ["k"], "n", F.col("v"), "s").count() == 0
 
 
+def test_running_count_over_blocks_equals_window(spark):
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).cast("int").alias("n"))
+    marks = df.where("n % 37 = 5 OR (k = 1 AND n > 150)").withColumn("m", F.lit("x"))
+    got = running_count(df, ["k"], "n", marks, "c", block_rows=17)
+    w = Window.partitionBy("k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    assert got.count() == 600 and got.withColumn("w", F.count("m").over(w)).where("w <> c").count() == 0 and got.where("m = 'x'").count() == marks.count()
+
+
 def test_previous(spark):
     df = spark.createDataFrame([(None, 0, "a"), (None, 1, "b"), ("x", 0, "c")], "k string, n int, v string")
     assert sorted((str(r.k), r.n, r.prev_v or "") for r in previous(df, ["k"], "n", ["v"]).collect()) == [("None", 0, ""), ("None", 1, "a"), ("x", 0, "")]
