@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.operators import elements as E
 from lexweave.operators import refs
 from lexweave.operators import sentences as S
+from lexweave.operators.semantics import analyze_elements
 from lexweave.session import cut_lineage, read
 from lexweave.sinks import render
 from lexweave.sources.lines import text_lines
@@ -141,7 +142,17 @@ def parsed_acts_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "raw_acts").join(done, "act_id", "left_anti").select("act_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (act_structure, act_amendments, act_citations, txt_render, html_render, json_round_trip, sentence_context, id_range_cut, element_invariants, ref_containment, links_resolved, links_broken, parsed_acts_missing)}
+def semantic_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as paragraphs of their customer's act: even ones define a short name, odd ones cite by it; the citations, resolved."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("V"), F.substring(F.lit("abc"), (F.pmod(F.floor(F.col("o_orderkey") / 2), F.lit(3)) + 1).cast("int"), F.lit(1)), F.lit("t.")).alias("short"), F.concat(F.year("o_orderdate"), F.lit(". évi X. törvény")).alias("named"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("A vízről szóló "), F.col("named"), F.lit(" (a továbbiakban: "), F.col("short"), F.lit(") irányadó"))).otherwise(F.concat(F.lit("a "), F.col("short"), F.lit(" 3. §-a szerint, és")))
+    null = F.lit(None).cast("string")
+    e = o.select(F.col("o_custkey").cast("string").alias("act_id"), F.col("o_orderkey").cast("string").alias("element_id"), null.alias("parent_id"), F.array(F.col("o_orderkey").cast("int")).alias("path"), text.alias("text"), null.alias("intro"), null.alias("wrap_up"), F.lit(False).alias("in_amendment"))
+    c = analyze_elements(e, max_depth=1).citations
+    return c.select(F.col("element_id").alias("o_orderkey"), F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"), "act", "article_first")
+
+
+QUERIES = {f.__name__: f for f in (act_structure, act_amendments, act_citations, txt_render, html_render, json_round_trip, sentence_context, id_range_cut, element_invariants, ref_containment, links_resolved, links_broken, parsed_acts_missing, semantic_pass)}
 
 _ARTICLES = """a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS article FROM orders),
   li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS paragraph FROM li),
@@ -180,4 +191,8 @@ SQL = {
     "links_resolved": f"WITH {_CITED_SQL}, i AS (SELECT DISTINCT act_id, element_id FROM subpoints) SELECT row_id, t.act_id, target FROM t JOIN i ON i.act_id = t.act_id AND i.element_id = target",
     "links_broken": f"WITH {_CITED_SQL}, i AS (SELECT DISTINCT act_id, element_id FROM subpoints) SELECT row_id, t.act_id, target FROM t LEFT JOIN i ON i.act_id = t.act_id AND i.element_id = target WHERE i.act_id IS NULL",
     "parsed_acts_missing": "SELECT act_id, subject FROM raw_acts WHERE act_id NOT IN (SELECT act_id FROM dashes)",
+    "semantic_pass": """WITH o AS (SELECT o_custkey, o_orderkey, 'V' || substring('abc', (o_orderkey // 2 % 3 + 1)::INT, 1) || 't.' AS short, year(o_orderdate) || '. évi X. törvény' AS named FROM orders),
+      d AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), u AS (SELECT u.o_orderkey, coalesce(d.named, u.short) AS act FROM (SELECT * FROM o WHERE o_orderkey % 2 = 1) u ASOF LEFT JOIN d ON u.o_custkey = d.o_custkey AND u.short = d.short AND u.o_orderkey >= d.o_orderkey)
+      SELECT o_orderkey::VARCHAR AS o_orderkey, 15::BIGINT AS start_pos, (15 + length(named))::BIGINT AS end_pos, named AS act, NULL AS article_first FROM d
+      UNION ALL SELECT o_orderkey::VARCHAR, 2, 6, act, NULL FROM u UNION ALL SELECT o_orderkey::VARCHAR, 7, 13, act, '3' FROM u""",
 }

@@ -6,6 +6,8 @@ from lexweave.operators import fixups, gazette
 from lexweave.operators import sentences as S
 from lexweave.operators.groups import map_groups
 from lexweave.operators.scans import previous, running_count, running_sum
+from lexweave.operators.semantics import analyze_elements, children_types, to_analyze
+from lexweave.plans import pipeline
 from lexweave.sinks import render
 from lexweave.sources.lines import glyph_lines, html_texts, issue_index, text_lines
 from lexweave.streaming.landing import not_done, run_landed
@@ -190,3 +192,34 @@ def test_landing(spark, tmp_path):
     for _ in range(2):
         run_landed(spark, f"{tmp_path}/in", "id int, v string", lambda b: b.withColumn("u", F.upper("v")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(r.u for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["A", "B", "C"]
+
+
+def test_semantics_in_context(spark):
+    rows = [
+        ("A", "1", None, [1], None, "A vízről szóló 2001. évi V. törvény (a továbbiakban: Vgt.) szerint:", "irányadó."), ("A", "1a", "1", [1, 1], "a Vgt. 2. §-a, és", None, None),
+        ("A", "2", None, [2], "Az új 2002. évi X. törvény (a továbbiakban: Vgt.) él.", None, None), ("A", "3", None, [3], "A Vgt. 9. §-a.", None, None), ("B", "1", None, [1], "A Vgt. 9. §-a.", None, None),
+    ]
+    e = spark.createDataFrame(rows, "act_id string, element_id string, parent_id string, path array<int>, text string, intro string, wrap_up string").withColumn("in_amendment", F.lit(None).cast("boolean"))
+    got = analyze_elements(e)
+    cited = {(r.act_id, r.element_id, r.start_pos, r.end_pos, r.act, r.article_first) for r in got.citations.collect()}
+    assert ("A", "1a", 7, 13, "2001. évi V. törvény", "2") in cited and ("A", "3", 7, 13, "2002. évi X. törvény", "9") in cited and ("B", "1", 7, 13, "Vgt.", "9") in cited
+    assert {(r.element_id, r.act) for r in got.abbreviations.collect()} == {("1", "2001. évi V. törvény"), ("1a", "2001. évi V. törvény"), ("2", "2002. évi X. törvény")}
+    done = e.where("element_id <> '3'")
+    assert [r.element_id for r in to_analyze(e, done).collect()] == ["3"]
+    assert sorted(r.element_id for r in to_analyze(e, done, spark.createDataFrame([("B",)], "act_id string")).collect()) == ["1", "3"]
+    assert [tuple(r) for r in children_types(e.withColumn("kind", F.lit("P"))).collect()] == [("A", "1", 1, "P")]
+
+
+def test_pipeline(spark, tmp_path):
+    head = ["MAGYAR KÖZLÖNY", "", "x", "2011. június 28., kedd", "", "bevezető"]
+    body = ["fej", "", gazette.LAWS, "", "2011. évi IX. törvény", "a kútról*", "1. § Hibás sor.", "2. § A Vgt. 4. §-a helyébe a következő rendelkezés lép:", "„4. § Új.”", "", "X Y", "köztársasági elnök az Országgyűlés elnöke"]
+    df = spark.createDataFrame([("g", p, i, c) for p, page in ((1, head), (2, body)) for i, c in enumerate(page)], "issue_id string, page_no int, line_no int, content string")
+    raw = pipeline.raw_acts(df, "2011. évi IX. törvény")
+    assert raw.count() == 3 and pipeline.raw_acts(df, "más").count() == 0
+    patches = spark.createDataFrame([("2011. évi IX. törvény", 1, "replace", "1. § Hibás sor.", "1. § Jó sor.", None), ("2011. évi IX. törvény", 2, "empty_after", "„4. § Új.”", None, None)], "act_id string, seq int, op string, needle string, replacement string, prev_lines array<string>")
+    e = pipeline.open_blocks(pipeline.structure(raw, patches))
+    rows = {r.element_id: (r.kind, r.text) for r in e.collect()}
+    assert rows["1_0__"] == ("Paragraph", "Jó sor.") and rows["2_0__.amendment/4_0__"] == ("Paragraph", "Új.") and not any(k == "QuotedBlock" for k, _ in rows.values())
+    for fmt in pipeline.FORMATS:
+        pipeline.write(e, fmt, f"{tmp_path}/{fmt}")
+        assert "Jó sor." in "".join(r.value for r in spark.read.text(f"{tmp_path}/{fmt}").collect())
