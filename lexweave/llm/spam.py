@@ -52,9 +52,10 @@ class Limits(NamedTuple):
 
 #: Calibrated on pages of each language: honest prose has at least twice as many function words, lists of search words hardly any.
 LIMITS = {"hu": Limits(0.09), "en": Limits(0.14), "de": Limits(0.14)}
-#: Words around each word that count, and the share of a page's characters that must be spam.
+#: Words around each word that count, the share of a page's characters that must be spam, and that from which a closer look is taken.
 AROUND = 12
 MOST = 0.5
+SOME = 0.1
 #: Least length of what can be judged, in words and characters; shorter pages are fragments.
 LEAST_WORDS = 8
 LEAST_CHARS = 60
@@ -63,6 +64,8 @@ _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_SETS.values())
 _EDGES = ".,;:!?()[]„”\"'«»"
 _LINK = re.compile(r"\[url=[^\]\s]*\].*?\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?(?=[\s,;|]|$)", re.I)
+_MARKS = ("http", "www.", "#", "](")
+_LINKISH = re.compile(r"https?://|www\.|#\w|\[url|href=|\[?[^\s\]]*\]\(|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?$")
 _TAG = re.compile(r"#[\w-]+")
 _PRICE = re.compile(r"\d[\d  .,]*(?:Ft|HUF|EUR|€|\$|USD)\b|[€$]\s?\d|(?:Ft|HUF|EUR|€)(?=\W|$)", re.I)
 _SEPARATOR = re.compile(r"[,;|·•»›*/>]|\s[-–—]\s|\n")
@@ -145,6 +148,10 @@ def profile(text: str | None) -> Profile:
     density = float(found.mean())
     sparse = _stretches(lowered, found, limits.function_words)
     share = float(chars[sparse].sum() / chars.sum())
+    if share <= MOST and (share > SOME or any(x in text for x in _MARKS)):
+        # Links and tags are no prose even right beside a sentence, where the words around them are many.
+        sparse |= np.fromiter((_LINKISH.match(w) is not None for w in lowered), dtype=bool, count=len(lowered))
+        share = float(chars[sparse].sum() / chars.sum())
     echo = echoes(lowered) if density < 3 * limits.function_words and len(lowered) >= LEAST_WORDS else 0.0
     if share <= MOST or echo > limits.echoes:
         return Profile(language, density, share, *_HONEST[2:], echo, echo > limits.echoes)

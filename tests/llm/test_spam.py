@@ -52,6 +52,11 @@ def test_honest(name):
     assert not profile(HONEST[name]).spam
 
 
+def test_sentence_among_links():
+    page = "\n".join(f"https://www.oldal{i}.test/cikk-{i}/letoltes" for i in range(4)) + "\n" + PROSE["hu"] * 2 + "\n" + "\n".join(f"oldal{i}.invalid/lista?id={i}0" for i in range(6))
+    assert profile(page).spam and not profile(PROSE["hu"] * 6 + page).spam
+
+
 def test_evidence():
     top, again, doubled, links, tags, separators, offers = evidence("a1 x, y, z\na1 x, y, z\na1 x, y, z\na1 x, y, z #t1 http://a.b/c 12 Ft")
     assert doubled == 0.5 and links > 0.1 and tags > 0.03 and separators > 0.5 and offers > 0 and again > 0.5 and top == 16 / 18
