@@ -216,7 +216,7 @@ def shared_spans(elements: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame
     rows = elements.select(F.col("act_id").cast("string").alias("act_id"), F.col("element_id").cast("string").alias("element_id"), body.alias("body")).where(F.length("body") >= min_length)
     element = F.struct("act_id", "element_id")
     by_body = rows.groupBy("body").agg(F.min(element).alias("one"), F.max(element).alias("other"))
-    numbered = by_body.select(F.monotonically_increasing_id().alias("body_id"), F.col("one").eqNullSafe(F.col("other")).alias("single"), F.xxhash64("one.act_id", "one.element_id").alias("own"), "body")
+    numbered = by_body.select(F.monotonically_increasing_id().alias("body_id"), F.col("one").eqNullSafe(F.col("other")).alias("single"), F.xxhash64(F.isnull("one.act_id"), "one.act_id", F.isnull("one.element_id"), "one.element_id").alias("own"), "body")
     # A body of several elements counts as a record of its own, other than each of them.
     bodies = cut_lineage(numbered.select("body_id", F.when(F.col("single"), F.col("own")).otherwise(F.xxhash64(F.lit("copies"), "body_id")).alias("who"), "body", "single"))
     plain = bodies.select("body_id", "who", "body")
