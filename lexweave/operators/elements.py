@@ -199,3 +199,24 @@ def invariants(elements: DataFrame) -> DataFrame:
         F.when((F.col("kind") == "Article") & (F.col("n") > 1) & (F.col("unnumbered") > 0), F.lit("unnumbered paragraph among several")),
     ))
     return with_kids.select("act_id", "element_id", F.explode(found).alias("violation"))
+
+
+def at_reference(elements: DataFrame, references: DataFrame) -> DataFrame:
+    """Elements that references name: ref_id, act_id, element_id. references: ref_id, reference (a struct of operators.refs).
+
+    Only the deepest level of a reference may be a range, which is taken in natural order; what isn't found gives no row. An equi-join
+    on act, depth and the place above. An unnumbered paragraph has no reference of its own; what stands below it is named without it.
+    """
+    from lexweave.operators import refs as R
+
+    def placed(df: DataFrame, r: Column, *keep: Column) -> DataFrame:
+        with_ref = df.select(*keep, r.alias("_r"))
+        last = R.last_component(F.col("_r"))
+        return with_ref.select(*(c for c in with_ref.columns if c != "_r"), F.col("_r.act").alias("_act"), last["kind"].alias("_kind"), R.id_string(R.parent(F.col("_r"))).alias("_above"), natural_key(last["first"]).alias("_lo"), natural_key(last["last"]).alias("_hi"))
+
+    own = R.from_id_string(F.regexp_replace(F.col("element_id"), "^([^_]*)_0_", "$1__"), F.col("act_id"))
+    named = F.col("element_id").rlike("^[^_.]*_[^_.]*_[^_.]*_[^_.]*$") & ~F.col("element_id").rlike("^[^_]*_0__$")
+    e = placed(elements.where(named), own, F.col("act_id"), F.col("element_id"))
+    r = placed(references, F.col("reference"), F.col("ref_id"))
+    on = (e["_act"] == r["_act"]) & (e["_kind"] == r["_kind"]) & (e["_above"] == r["_above"]) & (e["_lo"] >= r["_lo"]) & (e["_lo"] <= r["_hi"])
+    return e.join(r, on).select("ref_id", "act_id", "element_id")

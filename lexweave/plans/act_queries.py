@@ -9,6 +9,7 @@ from lexweave.operators import elements as E
 from lexweave.operators import refs
 from lexweave.operators import sentences as S
 from lexweave.operators.semantics import analyze_elements
+from lexweave.plans.register import register
 from lexweave.session import cut_lineage, read
 from lexweave.sinks import render
 from lexweave.sources.lines import text_lines
@@ -142,6 +143,23 @@ def parsed_acts_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "raw_acts").join(done, "act_id", "left_anti").select("act_id", "subject")
 
 
+def ref_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs 2 to 3 of article 1, and article 2, of every act: the elements that these references name."""
+    e = _deduped(spark, sf_dir, "btk_mod_1")
+    acts = e.select("act_id").distinct()
+    two = acts.select(F.explode(F.array(F.struct(F.concat("act_id", F.lit(" 1 (2)-(3)")).alias("ref_id"), refs.ref(F.col("act_id"), article=refs.level(F.lit("1")), paragraph=refs.level(F.lit("2"), F.lit("3"))).alias("reference")), F.struct(F.concat("act_id", F.lit(" 2")).alias("ref_id"), refs.ref(F.col("act_id"), article=refs.level(F.lit("2"))).alias("reference")))).alias("x")).select("x.*")
+    return E.at_reference(e, two)
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's functions and table functions in SQL, over all orders and nested records."""
+    register(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("lex_orders")
+    read(spark, sf_dir, "ambigous_points").createOrReplaceTempView("lex_records")
+    return spark.sql("""SELECT kind, count(*) AS n FROM lex_records r, LATERAL lex_nodes(r.children) x GROUP BY kind
+      UNION ALL SELECT concat('order ', lex_roman(cast(o_orderkey % 3999 + 1 as int))), count(*) FROM lex_orders GROUP BY 1""")
+
+
 def semantic_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as paragraphs of their customer's act: even ones define a short name, odd ones cite by it; the citations, resolved."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("V"), F.substring(F.lit("abc"), (F.pmod(F.floor(F.col("o_orderkey") / 2), F.lit(3)) + 1).cast("int"), F.lit(1)), F.lit("t.")).alias("short"), F.concat(F.year("o_orderdate"), F.lit(". évi X. törvény")).alias("named"))
@@ -152,7 +170,7 @@ def semantic_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("element_id").alias("o_orderkey"), F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"), "act", "article_first")
 
 
-QUERIES = {f.__name__: f for f in (act_structure, act_amendments, act_citations, txt_render, html_render, json_round_trip, sentence_context, id_range_cut, element_invariants, ref_containment, links_resolved, links_broken, parsed_acts_missing, semantic_pass)}
+QUERIES = {f.__name__: f for f in (act_structure, act_amendments, act_citations, txt_render, html_render, json_round_trip, sentence_context, id_range_cut, element_invariants, ref_containment, links_resolved, links_broken, parsed_acts_missing, semantic_pass, ref_lookup, sql_functions)}
 
 _ARTICLES = """a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS article FROM orders),
   li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS paragraph FROM li),
@@ -195,4 +213,6 @@ SQL = {
       d AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), u AS (SELECT u.o_orderkey, coalesce(d.named, u.short) AS act FROM (SELECT * FROM o WHERE o_orderkey % 2 = 1) u ASOF LEFT JOIN d ON u.o_custkey = d.o_custkey AND u.short = d.short AND u.o_orderkey >= d.o_orderkey)
       SELECT o_orderkey::VARCHAR AS o_orderkey, 15::BIGINT AS start_pos, (15 + length(named))::BIGINT AS end_pos, named AS act, NULL AS article_first FROM d
       UNION ALL SELECT o_orderkey::VARCHAR, 2, 6, act, NULL FROM u UNION ALL SELECT o_orderkey::VARCHAR, 7, 13, act, '3' FROM u""",
+    "ref_lookup": f"""WITH {_E('btk_mod_1')} SELECT act_id || ' 1 (2)-(3)' AS ref_id, act_id, element_id FROM e WHERE regexp_matches(element_id, '^1_(2([^0-9_][^_]*)?|3)__$')
+      UNION ALL SELECT act_id || ' 2', act_id, element_id FROM e WHERE element_id = '2___'""",
 }

@@ -7,7 +7,9 @@ from lexweave.operators import sentences as S
 from lexweave.operators.groups import map_groups
 from lexweave.operators.scans import previous, running_count, running_sum
 from lexweave.operators.semantics import analyze_elements, children_types, to_analyze
+from lexweave.operators import refs
 from lexweave.plans import pipeline
+from lexweave.plans.register import register
 from lexweave.sinks import render
 from lexweave.sources.lines import glyph_lines, html_texts, issue_index, text_lines
 from lexweave.streaming.landing import not_done, run_landed
@@ -223,3 +225,23 @@ def test_pipeline(spark, tmp_path):
     for fmt in pipeline.FORMATS:
         pipeline.write(e, fmt, f"{tmp_path}/{fmt}")
         assert "Jó sor." in "".join(r.value for r in spark.read.text(f"{tmp_path}/{fmt}").collect())
+
+
+def test_in_sql(spark):
+    register(spark)
+    register(spark)
+    one = spark.sql("SELECT lex_roman(1998) a, lex_ordinal('Huszonegyedik') b, lex_month('május') c, lex_month('x') d, lex_quote_change('„a') e, lex_natural_key('12/A') f, lex_roman(0) g").first()
+    assert (one.a, one.b, one.c, one.d, one.e, [tuple(x) for x in one.f], one.g) == ("MCMXCVIII", 21, 5, None, 1, [("", 12), ("/A", -1)], None)
+    spark.createDataFrame([(1, "A Vgt. 3. §-a."), (2, None), (3, "semmi")], "id int, text string").createOrReplaceTempView("lex_t")
+    assert [tuple(r) for r in spark.sql("SELECT t.id, c.act, c.article_first FROM lex_t t, LATERAL lex_analyze(t.text) c WHERE c.what = 'Citation' ORDER BY c.seq").collect()] == [(1, "Vgt.", None), (1, "Vgt.", "3")]
+
+
+def test_at_reference(spark):
+    e = spark.createDataFrame([("A", x) for x in ("1___", "1_0__", "1_0_a_", "1_0_b_", "2___", "2_1__", "2_1a__", "2_2__", "2_10__", "book-1")] + [("B", "1___")], "act_id string, element_id string")
+    lv = refs.level
+    r = spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit("p").alias("ref_id"), refs.ref(F.lit("A"), article=lv(F.lit("1")), point=lv(F.lit("b"))).alias("reference")),
+        F.struct(F.lit("q").alias("ref_id"), refs.ref(F.lit("A"), article=lv(F.lit("2")), paragraph=lv(F.lit("1a"), F.lit("9"))).alias("reference")),
+        F.struct(F.lit("r").alias("ref_id"), refs.ref(F.lit("A"), article=lv(F.lit("9"))).alias("reference")),
+    )).alias("x")).select("x.*")
+    assert sorted(tuple(x) for x in E.at_reference(e, r).collect()) == [("p", "A", "1_0_b_"), ("q", "A", "2_1a__"), ("q", "A", "2_2__")]
