@@ -26,6 +26,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, whatever their working folder is."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
     return spark
 
 
@@ -67,4 +77,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
