@@ -29,6 +29,12 @@ def test_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
 
 
+def test_heading_amendments_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = entry.queries()["all_heading_amendments"](spark, SF)
+    assert got.count() == orders.count() and got.where("book = '3' AND title IS NOT NULL").count() == orders.where("o_orderkey % 4 = 1").count() > 0
+
+
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
