@@ -4,10 +4,11 @@ Legal prose of any language is held together by function words; lists of search
 cut into stretches by the density of function words around each word, against a threshold of its language. Where the sparse stretches
 make up most of the page, they are examined: shares of the commonest words and word pairs, duplicate lines, link and tag text,
 separator density and prices. Sentences made of search words pass as prose by their function words, so pages of few of them are also
-examined for words that echo each other. The page is spam if one of these passes its threshold in most of the page's text.
+examined for words that echo each other. The page is spam if one of these passes its threshold in most of the page's text. Every page is
+also examined whole for top words and word pairs, other than function words, and duplicate lines; where it has few function words, though
+no stretch is sparse, these make it spam too. Prose with its full share of function words may be repeated.
 
-Nearly all pages are honest and end at the first step, which only looks words up. Each page is judged by itself in the task that reads
-it, nothing is shuffled, and copies are judged alike.
+Each page is judged by itself in the task that reads it, nothing is shuffled, and copies are judged alike.
 """
 
 from __future__ import annotations
@@ -48,14 +49,20 @@ class Limits(NamedTuple):
     offers: float = 0.04
     #: Words, other than function words, that stand among the three such words before, of a whole page.
     echoes: float = 0.22
+    #: Of a whole page with few function words: share of the five commonest of the other words, where pairs recur by word_pairs too, and
+    #: that of the pairs alone. Short honest pages of few subjects come to 0.63 and 0.26.
+    page_top_words: float = 0.60
+    page_word_pairs: float = 0.90
 
 
-#: Calibrated on pages of each language: honest prose has at least twice as many function words, lists of search words hardly any.
+#: Only function_words differs by language: honest prose has about twice as many, lists of search words hardly any.
 LIMITS = {"hu": Limits(0.09), "en": Limits(0.14), "de": Limits(0.14)}
 #: Words around each word that count, the share of a page's characters that must be spam, and that from which a closer look is taken.
 AROUND = 12
 MOST = 0.5
 SOME = 0.1
+#: How many times the threshold of function words a page may have and still have few of them.
+FEW = 3
 #: Least length of what can be judged, in words and characters; shorter pages are fragments.
 LEAST_WORDS = 8
 LEAST_CHARS = 60
@@ -66,6 +73,9 @@ _EDGES = ".,;:!?()[]„”\"'«»"
 _LINK = re.compile(r"\[url=[^\]\s]*\].*?\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?(?=[\s,;|]|$)", re.I)
 _MARKS = ("http", "www.", "#", "](")
 _LINKISH = re.compile(r"https?://|www\.|#\w|\[url|href=|\[?[^\s\]]*\]\(|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?$")
+#: What stands in any link, and (in small letters) in any price.
+_LINK_DOT = re.compile(r"\.[a-z]{2}|www\.", re.I)
+_PRICED = ("ft", "huf", "eur", "usd", "uſd", "€", "$")
 _TAG = re.compile(r"#[\w-]+")
 _PRICE = re.compile(r"\d[\d  .,]*(?:Ft|HUF|EUR|€|\$|USD)\b|[€$]\s?\d|(?:Ft|HUF|EUR|€)(?=\W|$)", re.I)
 _SEPARATOR = re.compile(r"[,;|·•»›*/>]|\s[-–—]\s|\n")
@@ -75,7 +85,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 class Profile(NamedTuple):
-    """What a page's sparse stretches are like."""
+    """What a page is like: top_words to offers of its sparse stretches where these are most of it, else of the whole page."""
 
     language: str
     function_words: float
@@ -88,10 +98,14 @@ class Profile(NamedTuple):
     separators: float
     offers: float
     echoes: float
+    page_top_words: float
+    page_word_pairs: float
+    page_duplicate_lines: float
     spam: bool
 
 
-_HONEST = (0.0,) * 9
+#: Of fragments, which aren't examined.
+_FRAGMENT = Profile("", *(0.0,) * 13, False)
 
 
 def _language(hits: dict[str, int]) -> str:
@@ -108,13 +122,16 @@ def _stretches(words: list[str], flags: np.ndarray, least: float) -> np.ndarray:
     return (sums[hi] - sums[lo]) < least * (hi - lo)
 
 
-def evidence(text: str) -> tuple[float, float, float, float, float, float, float]:
-    """top_words, word_pairs, duplicate_lines, links, tags, separators, offers of a stretch of text."""
+def evidence(text: str, words: list[str] | None = None) -> tuple[float, float, float, float, float, float, float]:
+    """top_words, word_pairs, duplicate_lines, links, tags, separators, offers of a stretch of text, whose words may be given."""
     size = max(1, len(text.strip()))
-    links = _LINK.findall(text)
+    linked = "[" in text or "<" in text or "://" in text or _LINK_DOT.search(text)
+    links = _LINK.findall(text) if linked else []
     tags = _TAG.findall(text)
-    bare = _LINK.sub(" ", text)
-    words = _WORD.findall(bare.lower())
+    bare = _LINK.sub(" ", text) if links else text
+    lowered = bare.lower()
+    if words is None or links:
+        words = _WORD.findall(lowered)
     spelled = [w for w in words if not w.isdigit()]
     n = max(1, len(spelled))
     counts = Counter(spelled)
@@ -124,7 +141,7 @@ def evidence(text: str) -> tuple[float, float, float, float, float, float, float
     again = sum(k for k in pairs.values() if k > 2) / n
     doubled = 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
     separators = len(_SEPARATOR.findall(bare)) / n
-    return top, again, doubled, sum(map(len, links)) / size, sum(map(len, tags)) / size, separators, len(_PRICE.findall(bare)) / n
+    return top, again, doubled, sum(map(len, links)) / size, sum(map(len, tags)) / size, separators, (len(_PRICE.findall(bare)) if any(x in lowered for x in _PRICED) else 0) / n
 
 
 def echoes(words: list[str]) -> float:
@@ -133,10 +150,20 @@ def echoes(words: list[str]) -> float:
     return sum(w in kept[max(0, i - 3) : i] for i, w in enumerate(kept)) / len(kept) if len(kept) > 3 else 0.0
 
 
+def whole_page(text: str, words: list[str]) -> tuple[float, float, float]:
+    """page_top_words, page_word_pairs, page_duplicate_lines."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    words = [w for w in words if w not in _ANY and not w.isdigit()]
+    pairs = Counter(zip(words, words[1:], strict=False))
+    n = max(1, len(words))
+    top = sum(k for _, k in Counter(words).most_common(5) if k > 2) / n
+    return top, sum(k for k in pairs.values() if k > 2) / n, 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
+
+
 def profile(text: str | None) -> Profile:
     """A page's language, sparse share, evidence and verdict."""
     if text is None or len(text) < LEAST_CHARS or text.isspace():
-        return Profile("", 0.0, *_HONEST, False)
+        return _FRAGMENT
     for joint, apart in _APART:
         text = text.replace(joint, apart)
     lowered = text.lower().split()
@@ -152,15 +179,18 @@ def profile(text: str | None) -> Profile:
         # Links and tags are no prose even right beside a sentence, where the words around them are many.
         sparse |= np.fromiter((_LINKISH.match(w) is not None for w in lowered), dtype=bool, count=len(lowered))
         share = float(chars[sparse].sum() / chars.sum())
-    echo = echoes(lowered) if density < 3 * limits.function_words and len(lowered) >= LEAST_WORDS else 0.0
-    if share <= MOST or echo > limits.echoes:
-        return Profile(language, density, share, *_HONEST[2:], echo, echo > limits.echoes)
-    stretch = _sparse_text(text, sparse)
-    got = evidence(stretch)
+    few = density < FEW * limits.function_words and len(lowered) >= LEAST_WORDS
+    echo = echoes(lowered) if few else 0.0
+    words = _WORD.findall(text.lower())
+    page = whole_page(text, words)
+    spam = echo > limits.echoes or few and (page[0] > limits.page_top_words and page[1] > limits.word_pairs or page[1] > limits.page_word_pairs or page[2] > limits.duplicate_lines)
+    if share <= MOST:
+        return Profile(language, density, share, *evidence(text, words), echo, *page, spam)
+    got = evidence(_sparse_text(text, sparse))
     top, again, doubled, links, tags, separators, offers = got
     enough = len(lowered) >= LEAST_WORDS or links > limits.links or tags > limits.tags
-    spam = enough and (top > limits.top_words or again > limits.word_pairs or doubled > limits.duplicate_lines or links > limits.links or tags > limits.tags or separators > limits.separators or offers > limits.offers)
-    return Profile(language, density, share, *got, echo, spam)
+    spam |= enough and (top > limits.top_words or again > limits.word_pairs or doubled > limits.duplicate_lines or links > limits.links or tags > limits.tags or separators > limits.separators or offers > limits.offers)
+    return Profile(language, density, share, *got, echo, *page, spam)
 
 
 def _sparse_text(text: str, sparse: np.ndarray) -> str:
@@ -172,12 +202,12 @@ def _sparse_text(text: str, sparse: np.ndarray) -> str:
     return "".join(out)
 
 
-PROFILE_SCHEMA = "doc_id bigint, language string, function_words double, sparse double, top_words double, word_pairs double, duplicate_lines double, links double, tags double, separators double, offers double, echoes double, spam boolean"
+PROFILE_SCHEMA = "doc_id bigint, language string, function_words double, sparse double, top_words double, word_pairs double, duplicate_lines double, links double, tags double, separators double, offers double, echoes double, page_top_words double, page_word_pairs double, page_duplicate_lines double, spam boolean"
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PROFILE_SCHEMA.split(", ")]
-    types = [pa.string(), *[pa.float64()] * 10, pa.bool_()]
+    types = [pa.string(), *[pa.float64()] * 13, pa.bool_()]
     for batch in batches:
         rows = [profile(t) for t in batch.column(1).to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
@@ -185,7 +215,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id and PROFILE_SCHEMA of every document; the evidence is 0 where the sparse stretches aren't most of the page.
+    """doc_id and PROFILE_SCHEMA of every document; the evidence is 0 only where there is none, and of fragments.
 
     Defined cases: null, empty, blank and very short texts are no spam; repeated rows are judged alike; texts are judged whole, however
     long; extra columns are not read; an empty table gives none.

@@ -68,3 +68,19 @@ def test_defined_cases(spark):
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id bigint, text string, spam boolean")
     assert sorted(r.doc_id for r in spam_pages(df).collect()) == [4, 4, 7]
     assert profiles(df).count() == len(rows) and spam_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["Olcsó ügyvéd a városban, gyors válás és ingyen tanács most önnek!\n" * 12, "Olcsó ügyvéd a városban, gyors válás és ingyen tanács most önnek! " * 12])
+def test_advertising_repeated_with_function_words(page):
+    got = profile(page)
+    assert got.spam and got.sparse <= 0.5 and got.echoes <= LIMITS["hu"].echoes and got.page_word_pairs > 0.9
+
+
+def test_evidence_of_honest_pages():
+    got = profile(HONEST["repeated"])
+    assert got.page_duplicate_lines > 0.9 and got.duplicate_lines > 0.9 and got.page_word_pairs > 0.9 and got.word_pairs > 0 and not got.spam
+
+
+def test_short_honest_page_of_few_subjects():
+    text = "Der Bescheid begründet binnen dreißig Tagen die Frist, weil die Änderung nach Anhörung fehlt. Die Frist begründet schriftlich die Genehmigung. Das Gericht begründet binnen dreißig Tagen die Behörde, weil der Antrag binnen dreißig Tagen fehlt. Die Prüfung ersetzt binnen dreißig Tagen der Antrag, weil die Gebühr binnen dreißig Tagen fehlt. Die Genehmigung verlängert binnen dreißig Tagen die Rückzahlung, weil der Antrag binnen dreißig Tagen fehlt."
+    assert profile(text).page_top_words > LIMITS["de"].page_top_words and not profile(text).spam
