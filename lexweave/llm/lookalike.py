@@ -3,9 +3,9 @@
 1. Fold what can't be seen or is only drawn differently: invisible characters go, every kind of blank becomes a single space, full- and
    half-width forms, ligatures, digraph letters and number forms are spelled out, hyphens of equal length become the hyphen-minus.
    Accents are taken apart, so a look-alike letter with an accent is recognised by its base.
-2. Resolve scripts word by word: intersect the script sets of its letters. An empty set means mixed scripts; a set without Latin may be
-   a whole-script look-alike. Among the scripts in which every letter of the word can be spelled, the first of PREFERENCE is taken and
-   the word spelled in it. Where no script can spell it all, each letter goes to its first look-alike.
+2. Resolve scripts word by word: intersect the sets of scripts that its letters can be spelled in. The first of PREFERENCE in what is
+   left is the script the word is spelled in; where nothing is left, each letter goes to its first look-alike. A word whose letters stand
+   in several scripts is mixed; one that stands in a single script but is spelled in another is a whole-script look-alike.
 3. Compose the accents again.
 
 Letter case, accents, raised digits, punctuation and the length of dashes are kept.
@@ -129,31 +129,62 @@ class _Fold(dict):
 _FOLD = _Fold()
 _SPELL = _spellings()
 _PLAIN = re.compile(r"(?:[!-~áéíóöőúüűÁÉÍÓÖŐÚÜŰ§–„”]+(?: (?! |$)|$))*")
-_FOREIGN = re.compile(r"[Ͱ-ԯἀ-῿Ⲁ-⳿]")
+_FOREIGN = regex.compile(r"(?V1)[\p{L}--\p{Script=Latin}]")
 _WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ҃-҇])*")
 
 
+@functools.lru_cache(maxsize=100_000)
+def scripts(ch: str) -> frozenset[str]:
+    """The scripts that a letter can be spelled in: its own and those of its look-alikes."""
+    return frozenset({script(ch), *_SPELL.get(ch, ())})
+
+
+#: What a word or text turns out to be, the worst last.
+DETECTED = ("none", "whole-script", "mixed")
+
+
+def examine(word: str) -> tuple[str, frozenset[str], str]:
+    """The word (accents apart) in one script, the script set of its letters as they stood (empty if mixed), and which of DETECTED it is."""
+    letters = [c for c in word if script(c)]
+    own = {script(c) for c in letters}
+    stood = frozenset(PREFERENCE).intersection(*({s} for s in own))
+    left = frozenset(PREFERENCE).intersection(*map(scripts, letters))
+    target = next((s for s in PREFERENCE if s in left), None)
+    if target:
+        spelled = "".join(c if not script(c) or script(c) == target else _SPELL[c][target] for c in word)
+    else:
+        first = lambda c: next((_SPELL[c][s] for s in PREFERENCE if s in _SPELL[c]), c) if c in _SPELL else c
+        spelled = "".join(map(first, word))
+    return spelled, stood, "mixed" if len(own) > 1 else "whole-script" if target and own - {target} else "none"
+
+
 def resolve(word: str) -> tuple[str, frozenset[str]]:
     """The word (accents apart) in one script, and the script set of its letters as they stood: empty if mixed."""
-    letters = [c for c in word if script(c)]
-    stood: frozenset[str] = frozenset(PREFERENCE)
-    for c in letters:
-        stood &= {script(c)}
-    for target in PREFERENCE:
-        if all(script(c) == target or target in _SPELL.get(c, ()) for c in letters):
-            return "".join(c if not script(c) or script(c) == target else _SPELL[c][target] for c in word), stood
-    first = lambda c: next((_SPELL[c][s] for s in PREFERENCE if s in _SPELL[c]), c) if c in _SPELL else c
-    return "".join(map(first, word)), stood
+    return examine(word)[:2]
+
+
+def consistent_and_detected(text: str | None) -> tuple[str | None, str | None]:
+    """The one form of all texts that look like this one, and the worst of DETECTED among its words; nulls of null."""
+    if text is None:
+        return None, None
+    if _PLAIN.fullmatch(text):
+        return text, DETECTED[0]
+    folded, worst = text.translate(_FOLD), 0
+
+    def word(m: re.Match) -> str:
+        nonlocal worst
+        spelled, _, detected = examine(m[0])
+        worst = max(worst, DETECTED.index(detected))
+        return spelled
+
+    if _FOREIGN.search(folded):
+        folded = _WORDS.sub(word, folded)
+    return unicodedata.normalize("NFC", " ".join(folded.split(" ")) if "  " not in folded else re.sub(" {2,}", " ", folded)).strip(" "), DETECTED[worst]
 
 
 def consistent(text: str | None) -> str | None:
     """The one form of all texts that look like this one."""
-    if text is None or _PLAIN.fullmatch(text):
-        return text
-    folded = text.translate(_FOLD)
-    if _FOREIGN.search(folded):
-        folded = _WORDS.sub(lambda m: resolve(m[0])[0], folded)
-    return unicodedata.normalize("NFC", " ".join(folded.split(" ")) if "  " not in folded else re.sub(" {2,}", " ", folded)).strip(" ")
+    return consistent_and_detected(text)[0]
 
 
 def consistent_column(text: Column) -> Column:
@@ -166,14 +197,25 @@ def consistent_column(text: Column) -> Column:
     return run(text)
 
 
+def detected_column(text: Column) -> Column:
+    """Arrow UDF of consistent_and_detected(): a struct of form and detected."""
+
+    @F.arrow_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("detected", T.StringType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [consistent_and_detected(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["form", "detected"])
+
+    return run(text)
+
+
 def body(df: DataFrame) -> DataFrame:
     """row_id and body of element rows: text, or intro if text is null; rows without either are left out."""
     return df.select(F.col("row_id").cast("bigint").alias("row_id"), F.coalesce(F.col("text").cast("string"), F.col("intro").cast("string")).alias("body")).where(F.col("body").isNotNull())
 
 
 def consistent_bodies(df: DataFrame) -> DataFrame:
-    """row_id, body and its consistent form."""
-    return body(df).withColumn("form", consistent_column(F.col("body")))
+    """row_id, body, its consistent form, and whether words of it mix scripts or are whole-script look-alikes (`DETECTED`)."""
+    return body(df).withColumn("_found", detected_column(F.col("body"))).select("row_id", "body", "_found.form", "_found.detected")
 
 
 def equal_looking_pairs(df: DataFrame) -> DataFrame:
@@ -185,7 +227,7 @@ def equal_looking_pairs(df: DataFrame) -> DataFrame:
     Defined cases: null bodies pair with none; an empty body and one of nothing visible look the same; equal strings are no pair;
     repeated rows are rows like any other; extra columns are not read; an empty table gives no pair.
     """
-    rows = cut_lineage(consistent_bodies(df))
+    rows = cut_lineage(body(df).withColumn("form", consistent_column(F.col("body"))))
     spellings = rows.groupBy("form", "body").agg(F.count("*").alias("n"))
     # The spellings of a form differ, so if any form has two, the least and the greatest do.
     several = spellings.groupBy("form").agg(F.min("body").alias("least"), F.max("body").alias("greatest")).where("least <> greatest").select("form")

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexweave.llm.lookalike import consistent, equal_looking_pairs, resolve
+from lexweave.llm.lookalike import consistent, consistent_bodies, equal_looking_pairs, resolve
 
 ALIKE = [
     ("törvény", "törvény"), ("törvény", "tӧrvе́ny"), ("őz", "о̋z"), ("a b", "​a b﻿ "), ("víz", "vίz"), ("ﬁzet", "fizet"), ("zároǉa", "zárolja"), ("XII.", "Ⅻ."), ("ＸＩＩ", "ΧΙΙ"),
@@ -51,3 +51,11 @@ def test_whole_table(spark):
     want = {(min(i, j), max(i, j)) for g in by.values() for i, a in g for j, b in g if i != j and a != b}
     got = [tuple(r) for r in equal_looking_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_detection_of_mixed_and_whole_scripts(spark):
+    rows = {1: "törvény", 2: "a pаy", 3: "a сор x", 4: "мир", 5: "сор жΛo", 6: "aא", 7: "שלום  a", 8: "", 9: "őz  ﬁ"}
+    df = spark.createDataFrame([(k, v, None) for k, v in rows.items()], "row_id bigint, text string, intro string")
+    got = {r.row_id: (r.form, r.detected) for r in consistent_bodies(df).collect()}
+    assert {k: d for k, (_, d) in got.items()} == {1: "none", 2: "mixed", 3: "whole-script", 4: "none", 5: "mixed", 6: "mixed", 7: "none", 8: "none", 9: "none"}
+    assert all(f == consistent(rows[k]) for k, (f, _) in got.items()) and got[3][0] == "a cop x"
