@@ -32,7 +32,7 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every garbled field with its wording restored as far as it can be."""
     fields = mojibake.fields_of(read(spark, sf_dir, "subpoints"))
-    return mojibake.restore_fields(fields, mojibake.fit(fields))
+    return mojibake.restore_fields(fields, mojibake.fit(fields, texts=read(spark, sf_dir, "documents").select("lang", "text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
