@@ -1,12 +1,19 @@
 """Keyword-stuffed and link-list pages.
 
-Legal prose of any language is held together by function words; lists of search words, links, tags and offers do without. A page is
-cut into stretches by the density of function words around each word, against a threshold of its language. Where the sparse stretches
-make up most of the page, they are examined: shares of the commonest words and word pairs, duplicate lines, link and tag text,
-separator density and prices. Sentences made of search words pass as prose by their function words, so pages of few of them are also
-examined for words that echo each other. The page is spam if one of these passes its threshold in most of the page's text. Every page is
-also examined whole for top words and word pairs, other than function words, and duplicate lines; where it has few function words, though
-no stretch is sparse, these make it spam too. Prose with its full share of function words may be repeated.
+Legal prose of any language is held together by function words; lists of search words, links, tags and offers do without. A page's
+language is told by its function words or, where it has few, by letters that only one language has. The page is cut into stretches by the
+density of function words around each word, against a threshold of its language. Where the sparse stretches make up most of the page,
+they are examined: shares of the commonest words and of recurring word sequences (two to four words), duplicate lines, link and tag text,
+separator density and prices. The page is spam if one of these passes its threshold in most of the page's text.
+
+A page whose language isn't known has no verdict from missing function words: it is examined whole. If it has short words that stand
+behind many different ones, as function words do in most languages, short words don't count among its commonest ones, and its thresholds
+are stricter.
+
+Sentences made of search words pass as prose by their function words, so pages of few of them are also examined for words that echo each
+other. Every page is also examined whole for top words and word sequences, other than function words, and duplicate lines; where it has few
+function words, though no stretch is sparse, these make it spam too. Prose with its full share of function words may be repeated. What
+spoke against a page is listed in `reasons`.
 
 Each page is judged by itself in the task that reads it, nothing is shuffled, and copies are judged alike.
 """
@@ -28,7 +35,19 @@ FUNCTION_WORDS = {
     "hu": "a az és vagy is nem hogy egy ha e ez azt ezt mert mivel úgy valamint illetve továbbá ideértve szerint szerinti alapján vonatkozó amely amelyben amelynek olyan kell lehet kivéve feltéve amennyiben során között által után előtt alatt belül ellen helyébe következő szerinti köteles lép bekezdés bekezdése bekezdésében",
     "en": "the of and or to in a an any is it its by for not be shall may must within under where after before with that this on at from as which doesn't isn't it's otherwise",
     "de": "der die das des dem den und oder in im ist nicht von zu zum zur mit nach bei auf für ein eine einer wenn weil dass durch wird werden kann muss binnen unverzüglich schriftlich",
+    "fr": "le la les l' de du des d' un une et ou à au aux en dans par pour sur sous avec sans est sont être été a ont ne que qui dont ce cette ces il elle ils se sa son ses leur si lorsque selon",
+    "es": "el la los las de del un una y o e a al en por para con sin sobre es son ser fue no que se su sus lo como si cuando este esta estos estas ha han según entre más",
+    "it": "il lo la i gli le di del della dei delle dell' un una e o a al alla ai in nel nella per con su da dal dalla è sono essere non che si suo sua se come quando questo questa ha hanno tra",
+    "pt": "o a os as de do da dos das um uma e ou em no na nos nas por para com sem sobre é são ser foi não que se seu sua ao à pelo pela como quando este esta entre mais",
+    "nl": "de het een en of van in op te aan met voor door bij is zijn wordt worden niet dat die deze dit als om uit naar ook er indien na over tot binnen heeft",
+    "pl": "i w we z ze na do od o u po za dla przez przy nie jest są być się że który która które lub albo oraz a ale jeżeli jeśli to tego tej tym jak może nad pod",
+    "cs": "a i v ve z ze na do od o u po za pro při s se si je jsou být není že který která které nebo ale jestliže pokud to tohoto této jak může podle nad pod k ke sa nie sú že ktorý ktorá alebo ak podľa pri",
+    "ro": "de la în a al ale și sau cu din pe pentru prin este sunt fi nu că care se un o unei unui cel cea cei dacă după prin între până nr lor lui sa său",
+    "hr": "i u na za od do iz s sa o po pri kod je su biti nije da koji koja koje ili a ali ako se to ovaj ovog ove kao može prema nad pod li te",
+    "sv": "och i att en ett den det de som på för av med till är var inte om eller från vid under efter har kan ska skall inom enligt og at er et til ikke eller fra ved",
 }
+#: Letters that tell one of these languages from all others, for texts of few function words.
+TELLING_LETTERS = {"hu": "őűŐŰ", "de": "ß", "pl": "łŁąĄęĘ", "ro": "țȚțșȘţŢ", "cs": "ěĚřŘů", "pt": "ãÃ", "es": "ñÑ¿¡"}
 
 
 class Limits(NamedTuple):
@@ -36,9 +55,11 @@ class Limits(NamedTuple):
 
     #: Function words per word, below which a stretch is sparse.
     function_words: float
-    #: Share of the five commonest words, and of the pairs that recur.
+    #: Share of the five commonest words, and of the sequences of two, three and four words that recur.
     top_words: float = 0.30
     word_pairs: float = 0.35
+    word_triples: float = 0.35
+    word_fours: float = 0.35
     duplicate_lines: float = 0.50
     #: Link text and tags per character.
     links: float = 0.30
@@ -55,8 +76,16 @@ class Limits(NamedTuple):
     page_word_pairs: float = 0.90
 
 
-#: Only function_words differs by language: honest prose has about twice as many, lists of search words hardly any.
-LIMITS = {"hu": Limits(0.09), "en": Limits(0.14), "de": Limits(0.14)}
+#: Made by calibrate() of the documents at scale 0.1 for Hungarian, English and German; others have no pages there and keep the defaults.
+LIMITS = {"hu": Limits(0.09), "en": Limits(0.17), "de": Limits(0.15)} | {k: Limits(0.12) for k in FUNCTION_WORDS if k not in ("hu", "en", "de")}
+#: Of pages whose language isn't known: honest prose of other languages comes to 0.15 separators a word and 0.2 of long top words.
+NOT_HELD = Limits(0.0)
+UNKNOWN = Limits(0.0, top_words=0.33, word_pairs=0.45, word_triples=0.40, word_fours=0.40, separators=0.25)
+#: Short words that stand behind different ones, per word, from which a text of an unknown language may be prose.
+HELD = 0.03
+#: Function words per word that tell a language, and how long a word must be to count among the top ones of an unknown language.
+TOLD = 0.10
+LONG_WORD = 4
 #: Words around each word that count, the share of a page's characters that must be spam, and that from which a closer look is taken.
 AROUND = 12
 MOST = 0.5
@@ -65,10 +94,11 @@ SOME = 0.1
 FEW = 3
 #: Least length of what can be judged, in words and characters; shorter pages are fragments.
 LEAST_WORDS = 8
-LEAST_CHARS = 60
+LEAST_CHARS = 40
 
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ANY = frozenset().union(*_SETS.values())
+_ANY = frozenset().union(*(_SETS[k] for k in ("hu", "en", "de")))
+_TELLING = {k: re.compile(f"[{v}]") for k, v in TELLING_LETTERS.items()}
 _EDGES = ".,;:!?()[]„”\"'«»"
 _LINK = re.compile(r"\[url=[^\]\s]*\].*?\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?(?=[\s,;|]|$)", re.I)
 _MARKS = ("http", "www.", "#", "](")
@@ -92,6 +122,8 @@ class Profile(NamedTuple):
     sparse: float
     top_words: float
     word_pairs: float
+    word_triples: float
+    word_fours: float
     duplicate_lines: float
     links: float
     tags: float
@@ -102,15 +134,37 @@ class Profile(NamedTuple):
     page_word_pairs: float
     page_duplicate_lines: float
     spam: bool
+    reasons: list[str]
 
 
 #: Of fragments, which aren't examined.
-_FRAGMENT = Profile("", *(0.0,) * 13, False)
+_FRAGMENT = Profile("", *(0.0,) * 15, False, [])
 
 
-def _language(hits: dict[str, int]) -> str:
+def _language(hits: dict[str, int], words: int, text: str) -> str:
+    """The language with most function words or, where these are few, the only one with letters of its own; empty if not known."""
     best = max(hits, key=lambda k: hits[k])
-    return best if hits[best] else "hu"
+    if hits[best] >= TOLD * words:
+        return best
+    own = [k for k, letters in _TELLING.items() if letters.search(text)]
+    return own[0] if len(own) == 1 else ""
+
+
+def _held_together(words: list[str]) -> float:
+    """Share of the short words that mostly stand behind different words; those of fixed phrases and single ones don't count."""
+    behind: dict[str, set[str]] = {}
+    times: Counter[str] = Counter()
+    for a, w in zip(words, words[1:], strict=False):
+        if 0 < len(w) < LONG_WORD and w.isalpha():
+            behind.setdefault(w, set()).add(a)
+            times[w] += 1
+    return sum(n for w, n in times.items() if n > 1 and len(behind[w]) > n / 2) / max(1, len(words))
+
+
+def _recurring(words: list[str], n: int) -> float:
+    """Share of the words' sequences of n that occur more than twice."""
+    found = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+    return sum(k for k in found.values() if k > 2) / max(1, len(words))
 
 
 def _stretches(words: list[str], flags: np.ndarray, least: float) -> np.ndarray:
@@ -122,8 +176,9 @@ def _stretches(words: list[str], flags: np.ndarray, least: float) -> np.ndarray:
     return (sums[hi] - sums[lo]) < least * (hi - lo)
 
 
-def evidence(text: str, words: list[str] | None = None) -> tuple[float, float, float, float, float, float, float]:
-    """top_words, word_pairs, duplicate_lines, links, tags, separators, offers of a stretch of text, whose words may be given."""
+def evidence(text: str, words: list[str] | None = None, least: int = 1) -> tuple[float, float, float, float, float, float, float, float, float]:
+    """top_words, word_pairs, word_triples, word_fours, duplicate_lines, links, tags, separators, offers of a stretch of text, whose words
+    may be given. Among the top words count those of at least `least` characters."""
     size = max(1, len(text.strip()))
     linked = "[" in text or "<" in text or "://" in text or _LINK_DOT.search(text)
     links = _LINK.findall(text) if linked else []
@@ -134,14 +189,15 @@ def evidence(text: str, words: list[str] | None = None) -> tuple[float, float, f
         words = _WORD.findall(lowered)
     spelled = [w for w in words if not w.isdigit()]
     n = max(1, len(spelled))
-    counts = Counter(spelled)
-    pairs = Counter(zip(spelled, spelled[1:], strict=False))
+    counts = Counter(w for w in spelled if len(w) >= least)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     top = sum(k for _, k in counts.most_common(5) if k > 2) / n
-    again = sum(k for k in pairs.values() if k > 2) / n
+    again = _recurring(spelled, 2)
+    # Longer sequences recur only where pairs do.
+    longer = (_recurring(spelled, 3), _recurring(spelled, 4)) if again else (0.0, 0.0)
     doubled = 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
     separators = len(_SEPARATOR.findall(bare)) / n
-    return top, again, doubled, sum(map(len, links)) / size, sum(map(len, tags)) / size, separators, (len(_PRICE.findall(bare)) if any(x in lowered for x in _PRICED) else 0) / n
+    return top, again, *longer, doubled, sum(map(len, links)) / size, sum(map(len, tags)) / size, separators, (len(_PRICE.findall(bare)) if any(x in lowered for x in _PRICED) else 0) / n
 
 
 def echoes(words: list[str]) -> float:
@@ -167,30 +223,40 @@ def profile(text: str | None) -> Profile:
     for joint, apart in _APART:
         text = text.replace(joint, apart)
     lowered = text.lower().split()
-    hits = {k: sum(map(s.__contains__, lowered)) for k, s in _SETS.items()}
-    language = _language(hits)
-    limits = LIMITS[language]
-    found = np.fromiter((w in _ANY or w.strip(_EDGES) in _ANY for w in lowered), dtype=bool, count=len(lowered))
+    bare = [w.strip(_EDGES) for w in lowered]
+    counts = Counter(bare)
+    hits = {k: sum(counts[w] for w in s if w in counts) for k, s in _SETS.items()}
+    language = _language(hits, len(lowered), text)
+    held = bool(language) or _held_together(bare) >= HELD
+    limits = LIMITS[language] if language else UNKNOWN if held else NOT_HELD
+    # Pages may change their language, so the words of every one that has a share count.
+    own = frozenset().union(*(_SETS[k] for k, n in hits.items() if k == language or n >= TOLD * len(lowered)))
+    own = own | _ANY if language in ("hu", "en", "de") else own
+    found = np.fromiter((w in own or v in own for v, w in zip(lowered, bare, strict=True)), dtype=bool, count=len(lowered))
     chars = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     density = float(found.mean())
-    sparse = _stretches(lowered, found, limits.function_words)
+    sparse = _stretches(lowered, found, limits.function_words) if language else np.ones(len(lowered), dtype=bool)
     share = float(chars[sparse].sum() / chars.sum())
     if share <= MOST and (share > SOME or any(x in text for x in _MARKS)):
         # Links and tags are no prose even right beside a sentence, where the words around them are many.
         sparse |= np.fromiter((_LINKISH.match(w) is not None for w in lowered), dtype=bool, count=len(lowered))
         share = float(chars[sparse].sum() / chars.sum())
-    few = density < FEW * limits.function_words and len(lowered) >= LEAST_WORDS
-    echo = echoes(lowered) if few else 0.0
+    few = bool(language) and density < FEW * limits.function_words and len(lowered) >= LEAST_WORDS
     words = _WORD.findall(text.lower())
     page = whole_page(text, words)
-    spam = echo > limits.echoes or few and (page[0] > limits.page_top_words and page[1] > limits.word_pairs or page[1] > limits.page_word_pairs or page[2] > limits.duplicate_lines)
+    echo = echoes(lowered) if few or not language else 0.0
+    reasons = []
+    if few:
+        reasons += [k for k, v in (("page_top_words", page[0] > limits.page_top_words and page[1] > limits.word_pairs), ("page_word_pairs", page[1] > limits.page_word_pairs), ("page_duplicate_lines", page[2] > limits.duplicate_lines)) if v]
+        if echo > limits.echoes:
+            reasons.append("echoes")
     if share <= MOST:
-        return Profile(language, density, share, *evidence(text, words), echo, *page, spam)
-    got = evidence(_sparse_text(text, sparse))
-    top, again, doubled, links, tags, separators, offers = got
-    enough = len(lowered) >= LEAST_WORDS or links > limits.links or tags > limits.tags
-    spam |= enough and (top > limits.top_words or again > limits.word_pairs or doubled > limits.duplicate_lines or links > limits.links or tags > limits.tags or separators > limits.separators or offers > limits.offers)
-    return Profile(language, density, share, *got, echo, *page, spam)
+        return Profile(language, density, share, *evidence(text, words), echo, *page, bool(reasons), reasons)
+    got = evidence(_sparse_text(text, sparse), None, 1 if language or not held else LONG_WORD)
+    linked = got[5] > limits.links or got[6] > limits.tags
+    if len(lowered) >= LEAST_WORDS or linked:
+        reasons = [k for k, v in zip(EVIDENCE, got, strict=True) if v > getattr(limits, k)] + reasons
+    return Profile(language, density, share, *got, echo, *page, bool(reasons), reasons)
 
 
 def _sparse_text(text: str, sparse: np.ndarray) -> str:
@@ -202,12 +268,13 @@ def _sparse_text(text: str, sparse: np.ndarray) -> str:
     return "".join(out)
 
 
-PROFILE_SCHEMA = "doc_id bigint, language string, function_words double, sparse double, top_words double, word_pairs double, duplicate_lines double, links double, tags double, separators double, offers double, echoes double, page_top_words double, page_word_pairs double, page_duplicate_lines double, spam boolean"
+EVIDENCE = ("top_words", "word_pairs", "word_triples", "word_fours", "duplicate_lines", "links", "tags", "separators", "offers")
+PROFILE_SCHEMA = "doc_id bigint, language string, function_words double, sparse double, top_words double, word_pairs double, word_triples double, word_fours double, duplicate_lines double, links double, tags double, separators double, offers double, echoes double, page_top_words double, page_word_pairs double, page_duplicate_lines double, spam boolean, reasons array<string>"
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PROFILE_SCHEMA.split(", ")]
-    types = [pa.string(), *[pa.float64()] * 13, pa.bool_()]
+    types = [pa.string(), *[pa.float64()] * 15, pa.bool_(), pa.list_(pa.string())]
     for batch in batches:
         rows = [profile(t) for t in batch.column(1).to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
@@ -226,3 +293,12 @@ def profiles(docs: DataFrame) -> DataFrame:
 def spam_pages(docs: DataFrame) -> DataFrame:
     """doc_id of every keyword-stuffed or link-list page."""
     return profiles(docs).where("spam").select("doc_id")
+
+
+def calibrate(pages: DataFrame, sample_quantile: float = 0.01) -> DataFrame:
+    """Per language: pages, the threshold of function words that its honest pages ask for (under half of what nearly all of them have), and
+    the least page_top_words and page_word_pairs that nearly none of them reaches. pages: rows of profiles(), all of them."""
+    honest = pages.where("NOT spam AND language <> ''")
+    low = F.percentile_approx("function_words", sample_quantile, 10_000)
+    high = lambda c: F.percentile_approx(c, 1 - sample_quantile / 10, 10_000)
+    return honest.groupBy("language").agg(F.count("*").alias("pages"), F.round(low * 0.45, 2).alias("function_words"), high("page_top_words").alias("page_top_words"), high("page_word_pairs").alias("page_word_pairs"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexweave.llm.spam import LIMITS, echoes, evidence, profile, profiles, spam_pages
+from lexweave.llm.spam import LIMITS, calibrate, echoes, evidence, profile, profiles, spam_pages
 
 PROSE = {
     "hu": "A hatóság a kérelem alapján a határidő lejártát követően az engedélyt felülvizsgálja, ha az ügyfél nem igazolja, hogy a feltétel fennáll. ",
@@ -58,8 +58,8 @@ def test_sentence_among_links():
 
 
 def test_evidence():
-    top, again, doubled, links, tags, separators, offers = evidence("a1 x, y, z\na1 x, y, z\na1 x, y, z\na1 x, y, z #t1 http://a.b/c 12 Ft")
-    assert doubled == 0.5 and links > 0.1 and tags > 0.03 and separators > 0.5 and offers > 0 and again > 0.5 and top == 16 / 18
+    top, again, triples, fours, doubled, links, tags, separators, offers = evidence("a1 x, y, z\na1 x, y, z\na1 x, y, z\na1 x, y, z #t1 http://a.b/c 12 Ft")
+    assert doubled == 0.5 and links > 0.1 and tags > 0.03 and separators > 0.5 and offers > 0 and again > 0.5 and triples > 0.5 and fours > 0.4 and top == 16 / 18
     assert echoes("kút kút kút tó tó".split()) == 0.6 and echoes([]) == 0
 
 
@@ -84,3 +84,51 @@ def test_evidence_of_honest_pages():
 def test_short_honest_page_of_few_subjects():
     text = "Der Bescheid begründet binnen dreißig Tagen die Frist, weil die Änderung nach Anhörung fehlt. Die Frist begründet schriftlich die Genehmigung. Das Gericht begründet binnen dreißig Tagen die Behörde, weil der Antrag binnen dreißig Tagen fehlt. Die Prüfung ersetzt binnen dreißig Tagen der Antrag, weil die Gebühr binnen dreißig Tagen fehlt. Die Genehmigung verlängert binnen dreißig Tagen die Rückzahlung, weil der Antrag binnen dreißig Tagen fehlt."
     assert profile(text).page_top_words > LIMITS["de"].page_top_words and not profile(text).spam
+
+
+FOREIGN = {
+    "fr": "Le conseil municipal décide que la taxe sur les terrains non bâtis est due par le propriétaire inscrit au registre. Le maire peut accorder une remise si le redevable prouve que la charge met en péril sa subsistance. La demande est déposée dans les trente jours qui suivent la notification, avec les pièces qui la justifient. Contre la décision, un recours est ouvert devant le tribunal administratif.",
+    "pl": "Rada gminy postanawia, że opłata za zajęcie pasa drogowego jest należna od właściciela nieruchomości wpisanego do rejestru. Wójt może umorzyć opłatę, jeżeli zobowiązany wykaże, że jej zapłata zagraża jego utrzymaniu. Wniosek składa się w terminie trzydziestu dni od dnia doręczenia decyzji wraz z dokumentami, które go uzasadniają. Od decyzji przysługuje odwołanie do kolegium.",
+    "ro": "Consiliul local hotărăște că taxa pentru ocuparea domeniului public este datorată de proprietarul înscris în registru. Primarul poate acorda o scutire dacă cel obligat dovedește că plata îi pune în pericol întreținerea. Cererea se depune în termen de treizeci de zile de la comunicare, împreună cu actele care o justifică. Împotriva deciziei se poate face contestație la tribunal.",
+    "es": "El pleno del ayuntamiento acuerda que la tasa por la ocupación de la vía pública sea pagada por el propietario inscrito en el registro. El alcalde puede conceder una reducción si el obligado demuestra que el pago pone en peligro su sustento. La solicitud se presenta en el plazo de treinta días desde la notificación, con los documentos que la justifican. Contra la resolución cabe recurso ante el tribunal.",
+    "cs": "Zastupitelstvo obce rozhodlo, že poplatek za užívání veřejného prostranství platí vlastník zapsaný v rejstříku. Starosta může poplatek prominout, jestliže povinný prokáže, že jeho zaplacení ohrožuje jeho výživu. Žádost se podává do třiceti dnů od doručení rozhodnutí spolu s doklady, které ji odůvodňují. Proti rozhodnutí se lze odvolat ke krajskému úřadu.",
+    "fi": "Kunnanvaltuusto päättää, että maksu yleisen alueen käytöstä peritään rekisteriin merkityltä omistajalta. Kunnanjohtaja voi myöntää huojennuksen, jos maksuvelvollinen osoittaa maksun vaarantavan toimeentulonsa. Hakemus jätetään kolmenkymmenen päivän kuluessa päätöksen tiedoksisaannista tarvittavine liitteineen. Päätöksestä saa valittaa hallinto-oikeuteen.",
+    "tr": "Belediye meclisi, kamuya ait alanların kullanımı için alınacak ücretin sicile kayıtlı malik tarafından ödenmesine karar verir. Başkan, yükümlünün ödemenin geçimini tehlikeye attığını kanıtlaması halinde indirim yapabilir. Başvuru, kararın tebliğinden itibaren otuz gün içinde gerekli belgelerle birlikte yapılır. Karara karşı idare mahkemesinde dava açılabilir.",
+    "el": "Το δημοτικό συμβούλιο αποφασίζει ότι το τέλος για τη χρήση κοινόχρηστων χώρων οφείλεται από τον ιδιοκτήτη που είναι εγγεγραμμένος στο μητρώο. Ο δήμαρχος μπορεί να χορηγήσει απαλλαγή αν ο υπόχρεος αποδείξει ότι η πληρωμή θέτει σε κίνδυνο τη διαβίωσή του. Η αίτηση υποβάλλεται εντός τριάντα ημερών από την κοινοποίηση μαζί με τα δικαιολογητικά.",
+    "ru": "Совет муниципалитета решает, что плата за использование общественных мест взимается с собственника, внесённого в реестр. Глава администрации может предоставить льготу, если обязанное лицо докажет, что уплата угрожает его существованию. Заявление подаётся в течение тридцати дней со дня вручения решения вместе с подтверждающими документами.",
+}
+
+
+@pytest.mark.parametrize("language", FOREIGN)
+@pytest.mark.parametrize("times", [1, 2])
+@pytest.mark.parametrize("joint", [" ", "\n"])
+def test_honest_pages_of_further_languages(language, times, joint):
+    sentences = FOREIGN[language].split(". ")
+    # Texts of a council repeat their subjects in other words; here each sentence gets a number of its own.
+    text = joint.join(f"{n}. {x}." for n, x in enumerate(sentences * times, 1))
+    assert not profile(text).spam and not profile(FOREIGN[language]).spam
+
+
+PLANTED = {
+    "en": "cheap lawyer, tax calculator, free legal template, instant credit, cheap lawyer 2020, legal template download, tax calculator 2021, cheap lawyer online, free template, instant credit 2022, ",
+    "de": "günstiger Anwalt, Steuerrechner, Muster kostenlos, Sofortkredit, günstiger Anwalt 2020, Muster Straße, Steuerrechner 2021, günstiger Anwalt online, Muster gratis, Sofortkredit 2022, ",
+    "fr": "avocat pas cher, calcul impôt, modèle gratuit, crédit immédiat, avocat pas cher 2020, modèle à télécharger, calcul impôt 2021, avocat en ligne, modèle gratuit, crédit 2022, ",
+}
+
+
+@pytest.mark.parametrize("language", PLANTED)
+@pytest.mark.parametrize("start", ["", "prose"])
+def test_planted_pages_of_further_languages(language, start):
+    text = (PROSE.get(language, FOREIGN.get(language, "")) if start else "") + PLANTED[language] * 6
+    got = profile(text)
+    assert got.spam and set(got.reasons) & {"top_words", "word_pairs", "word_triples", "separators"}
+
+
+def test_short_page_of_search_words_and_a_link():
+    assert profile("olcsó jogi minta olcsó jogi minta olcsó www.jogi.hu/x").spam and not profile("a határozat kelte, száma, helye és az aláírás helye").spam
+
+
+def test_calibration(spark):
+    rows = [(i, (PROSE["hu"] + f"{i}. sor ") * 3) for i in range(30)] + [(100, SPAM["words"])]
+    got = {r.language: r for r in calibrate(profiles(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert set(got) == {"hu"} and got["hu"].pages == 30 and 0.1 < got["hu"].function_words <= 0.2 and got["hu"].page_word_pairs <= 1
