@@ -29,6 +29,11 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(read(spark, sf_dir, "btk_mod_1"))
 
 
+def p3_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a stretch each element shares, by doubling."""
+    return spans.longest_shared(read(spark, sf_dir, "btk_mod_1"))
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every garbled field with its wording restored as far as it can be."""
     fields = mojibake.fields_of(read(spark, sf_dir, "subpoints"))
@@ -77,7 +82,7 @@ def p8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.profiles(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p3_longest, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
 #: Fixed values for p1_found's SQL: what the characters of `dashes` look like.
 _ALIKE = ("АВСЕНІЈКМОРЅТХУаеорсухѕіјһӧΑΒΕΖΗΙΚΜΝΟΡΤΥΧονίόι", "ABCEHIJKMOPSTXYaeopcyxsijhöABEZHIKMNOPTYXovíói")
 _SPELLED = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ſt"), ("ﬆ", "st"), ("ǉ", "lj"), ("ǈ", "Lj"), ("ǌ", "nj"), ("ǋ", "Nj"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅴ", "V"), ("Ⅵ", "VI"), ("Ⅶ", "VII"), ("Ⅷ", "VIII"), ("Ⅸ", "IX"), ("Ⅹ", "X"), ("Ⅺ", "XI"), ("Ⅻ", "XII"))

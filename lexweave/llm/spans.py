@@ -3,13 +3,15 @@
 Windows of a quarter of the least length are looked up first; only where one also occurs in another record are windows of twice the
 length made, and of those that recur again windows of the full length. Each level is one aggregation by window hash (the least and the
 greatest record of a hash tell whether there are two) and one semi-join back, so no list of the records sharing a window is ever made,
-however many they are. It ends early where no candidate survives.
+however many they are, and adaptive execution may split the rows of a window that very many share. The levels end where no candidate
+survives. `longest_shared` goes on doubling beyond the least length until none does.
 
-At the first length not every window is looked up but, of the windows inside each stretch of the second length, the one with the least
+Below the full length not every window is looked up but, of the windows inside each stretch of twice the length, the one with the least
 hash. That choice depends on the stretch alone, so two records that share the stretch share the window: nothing is lost, and about a
-sixteenth of the windows is shuffled.
+sixteenth of the windows of the first level, and a thirtieth of those of the second, is shuffled.
 
-Equal bodies are grouped before: copies are shared as a whole and take part in the levels as one.
+Equal bodies are grouped before: copies are shared as a whole and take part in the levels as one. Bodies are known by two 64-bit hashes;
+their text is shuffled once to be grouped and once a level to meet its candidates, never to be compared.
 """
 
 from __future__ import annotations
@@ -147,34 +149,61 @@ def first_level(short: int, middle: int) -> Callable[[Chunk, list], _Found]:
     return make
 
 
-def second_level(short: int, middle: int) -> Callable[[Chunk, list], _Found]:
-    """The windows of length `middle` of which the least window recurs."""
+def second_level(short: int, middle: int, full: int) -> Callable[[Chunk, list], _Found]:
+    """The windows of length `middle` with the least hash of a stretch of length `full`, of which the least short windows recur."""
 
     def make(chunk: Chunk, hits: list) -> _Found:
-        owner, at = _owners(chunk, middle)
+        owner, at = _owners(chunk, full)
         if not len(at):
             return _none()
-        hasher = Hasher(chunk.text)
-        keep = _marked(chunk, hits)[_least_windows(hasher.windows(short), at, middle - short + 1)]
-        return owner[keep], at[keep], hasher.windows(middle)[at[keep]]
+        hasher, mark = Hasher(chunk.text), _marked(chunk, hits)
+        h = hasher.windows(short)
+        # Of a stretch both the first and the last part of `middle` characters must have a short window that recurs.
+        inside = mark[_least_windows(h, at, middle - short + 1)] & mark[_least_windows(h, at + full - middle, middle - short + 1)]
+        owner, at = owner[inside], at[inside]
+        if not len(at):
+            return _none()
+        h = hasher.windows(middle)
+        least = _least_windows(h, at, full - middle + 1)
+        first = np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]
+        return owner[first], least[first], h[least[first]]
 
     return make
 
 
 def third_level(middle: int, full: int) -> Callable[[Chunk, list], _Found]:
-    """The windows of full length of which both ends recur."""
+    """The windows of full length of which the least middle window recurs."""
+
+    def make(chunk: Chunk, hits: list) -> _Found:
+        owner, at = _owners(chunk, full)
+        if not len(at):
+            return _none()
+        hasher = Hasher(chunk.text)
+        keep = _marked(chunk, hits)[_least_windows(hasher.windows(middle), at, full - middle + 1)]
+        return owner[keep], at[keep], hasher.windows(full)[at[keep]]
+
+    return make
+
+
+def doubled_level(half: int, full: int) -> Callable[[Chunk, list], _Found]:
+    """The windows of length `full` of which both halves recur."""
 
     def make(chunk: Chunk, hits: list) -> _Found:
         owner, at = _owners(chunk, full)
         if not len(at):
             return _none()
         mark = _marked(chunk, hits)
-        keep = mark[at] & mark[at + full - middle]
+        keep = mark[at] & mark[at + full - half]
         return owner[keep], at[keep], Hasher(chunk.text).windows(full)[at[keep]]
 
     return make
 
 
+def _none_left(found: DataFrame) -> bool:
+    """Has a written level no candidate?"""
+    return found.isEmpty()
+
+
 def _recurring(windows: DataFrame, keys: list[str]) -> DataFrame:
     """body_id and the positions of its windows that occur in another record too."""
     common = windows.groupBy(*keys).agg(F.min("who").alias("least"), F.max("who").alias("greatest")).where("least <> greatest").select(*keys)
@@ -206,32 +235,73 @@ def shared_spans(elements: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame
 
     Defined cases: null, empty and shorter bodies have no span; rows without act_id or element_id are elements by the null; repeated
     rows change nothing; an element delivered with different bodies has the spans of each; equal bodies of different elements are
-    shared as a whole; extra columns are not read; an empty table gives none. Windows of the full length are told apart by two
-    independent 64-bit hashes.
+    shared as a whole; extra columns are not read; an empty table gives none. Bodies, and windows of the full length, are told apart by
+    two independent 64-bit hashes.
     """
     if min_length < 8:
         raise ValueError("the least length is 8")
-    short, middle, full = lengths(min_length)
+    rows, bodies = _bodies(elements, min_length)
+    spans = _levels(bodies, min_length).mapInArrow(_merge(min_length), "body_id bigint, start_pos bigint, end_pos bigint")
+    keys = bodies.select("body_id", "k1", "k2", "single", "body_chars")
+    whole = keys.where("NOT single").select("k1", "k2", F.lit(0).cast("bigint").alias("start_pos"), F.col("body_chars").alias("end_pos"), "body_chars")
+    partial = keys.where("single").join(spans, "body_id").select("k1", "k2", "start_pos", "end_pos", "body_chars")
+    return rows.join(partial.unionByName(whole), ["k1", "k2"]).select("act_id", "element_id", "start_pos", "end_pos", "body_chars").distinct()
+
+
+_WINDOWS = "body_id bigint, who bigint, pos int, h bigint"
+
+
+def _bodies(elements: DataFrame, min_length: int) -> tuple[DataFrame, DataFrame]:
+    """The elements' keys with the two hashes of their bodies, and the distinct bodies, written: body_id, who, body, single, k1, k2,
+    body_chars."""
     body = F.coalesce(F.col("text").cast("string"), F.col("intro").cast("string"))
-    rows = elements.select(F.col("act_id").cast("string").alias("act_id"), F.col("element_id").cast("string").alias("element_id"), body.alias("body")).where(F.length("body") >= min_length)
+    plain = elements.select(F.col("act_id").cast("string").alias("act_id"), F.col("element_id").cast("string").alias("element_id"), body.alias("body")).where(F.length("body") >= min_length)
+    hashed = plain.select("act_id", "element_id", F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("other"), F.reverse("body")).alias("k2"), "body")
     element = F.struct("act_id", "element_id")
-    by_body = rows.groupBy("body").agg(F.min(element).alias("one"), F.max(element).alias("other"))
-    numbered = by_body.select(F.monotonically_increasing_id().alias("body_id"), F.col("one").eqNullSafe(F.col("other")).alias("single"), F.xxhash64(F.isnull("one.act_id"), "one.act_id", F.isnull("one.element_id"), "one.element_id").alias("own"), "body")
+    # Equal bodies are combined before the one shuffle of the texts.
+    by_body = hashed.groupBy("k1", "k2").agg(F.min(element).alias("one"), F.max(element).alias("other"), F.any_value("body").alias("body"))
+    own = F.xxhash64(F.isnull("one.act_id"), "one.act_id", F.isnull("one.element_id"), "one.element_id")
     # A body of several elements counts as a record of its own, other than each of them.
-    bodies = cut_lineage(numbered.select("body_id", F.when(F.col("single"), F.col("own")).otherwise(F.xxhash64(F.lit("copies"), "body_id")).alias("who"), "body", "single"))
+    single = F.col("one").eqNullSafe(F.col("other"))
+    who = F.when(single, own).otherwise(F.xxhash64(F.lit("copies"), "k1", "k2"))
+    bodies = by_body.select(F.monotonically_increasing_id().alias("body_id"), who.alias("who"), "body", single.alias("single"), "k1", "k2", F.length("body").cast("bigint").alias("body_chars"))
+    return hashed.select("act_id", "element_id", "k1", "k2").distinct(), cut_lineage(bodies)
+
+
+def _levels(bodies: DataFrame, min_length: int) -> DataFrame:
+    """body_id and hits: the positions of the windows of min_length that recur in another record."""
+    short, middle, full = lengths(min_length)
+    plain = bodies.select("body_id", "who", "body")
+    found = cut_lineage(plain.mapInArrow(_level(first_level(short, middle), False, 0), _WINDOWS))
+    for make, second in ((second_level(short, middle, full), 0), (third_level(middle, full), full)):
+        if _none_left(found):
+            break
+        found = cut_lineage(plain.join(_recurring(found, ["h"]), "body_id").mapInArrow(_level(make, True, second), _WINDOWS + (", h2 bigint" if second else "")))
+    if "h2" not in found.columns:
+        found = found.withColumn("h2", F.lit(0).cast("bigint")).limit(0)
+    return _recurring(found, ["h", "h2"])
+
+
+def longest_shared(elements: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+    """(act_id, element_id, shared_length): the greatest of min_length, twice that, four times that, … at which a stretch of the element's
+    body also stands in another element. Bodies of several elements count with the greatest that fits into them.
+
+    Doubling goes on until no window is left to be extended; a length is reached only where both halves of a window recur. Defined cases
+    are those of shared_spans; elements that share nothing have no row.
+    """
+    rows, bodies = _bodies(elements, min_length)
     plain = bodies.select("body_id", "who", "body")
-    schema = "body_id bigint, who bigint, pos int, h bigint"
-
-    found = plain.mapInArrow(_level(first_level(short, middle), False, 0), schema)
-    hits = _recurring(found, ["h"])
-    found = cut_lineage(plain.join(hits, "body_id").mapInArrow(_level(second_level(short, middle), True, 0), schema))
-    hits = _recurring(found, ["h"])
-    found = cut_lineage(plain.join(hits, "body_id").mapInArrow(_level(third_level(middle, full), True, full), schema + ", h2 bigint"))
-    spans = _recurring(found, ["h", "h2"]).mapInArrow(_merge(min_length), "body_id bigint, start_pos bigint, end_pos bigint")
-
-    whole = bodies.where("NOT single").select("body", F.lit(0).cast("bigint").alias("start_pos"), F.length("body").cast("bigint").alias("end_pos"))
-    partial = bodies.where("single").join(spans, "body_id").select("body", "start_pos", "end_pos")
-    return rows.distinct().join(partial.unionByName(whole), "body").select("act_id", "element_id", "start_pos", "end_pos", F.length("body").cast("bigint").alias("body_chars")).distinct()
+    hits, length = cut_lineage(_levels(bodies, min_length)), min_length
+    reached = hits.select("body_id", F.lit(length).cast("bigint").alias("shared_length"))
+    while not _none_left(hits):
+        found = cut_lineage(plain.join(hits, "body_id").mapInArrow(_level(doubled_level(length, 2 * length), True, 2 * length), _WINDOWS + ", h2 bigint"))
+        hits, length = cut_lineage(_recurring(found, ["h", "h2"])), 2 * length
+        reached = reached.unionByName(hits.select("body_id", F.lit(length).cast("bigint").alias("shared_length")))
+    # A body that several elements have is shared whole.
+    fits = F.expr(f"cast({min_length} * power(2, floor(log2(body_chars / {min_length}))) as bigint)")
+    whole = bodies.where("NOT single").select("k1", "k2", fits.alias("shared_length"))
+    partial = bodies.where("single").join(reached, "body_id").select("k1", "k2", "shared_length")
+    return rows.join(partial.unionByName(whole), ["k1", "k2"]).groupBy("act_id", "element_id").agg(F.max("shared_length").alias("shared_length"))
 
 
 def shared_shares(elements: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:

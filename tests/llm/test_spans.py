@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lexweave.llm.spans import Hasher, shared_shares, shared_spans
+from lexweave.llm.spans import Hasher, longest_shared, shared_shares, shared_spans
 
 
 def brute(rows, n):
@@ -56,3 +56,23 @@ def test_whole_table(spark, sf):
     assert {tuple(r)[:4] for r in shared_spans(df).collect()} == brute([r for r in rows if r[2] or r[3]], 120)
     assert all(0 < r.share <= 1 for r in shared_shares(df).collect())
     assert shared_spans(df.limit(0)).count() == 0
+
+
+def brute_longest(rows, n):
+    out, length = {}, n
+    while found := brute(rows, length):
+        out |= {(a, e): length for a, e, _, _ in found}
+        length *= 2
+    return out
+
+
+def test_longest_by_doubling(spark, sf):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdé ") for _ in range(700))
+    rows = [("A", "1", long[:500], None), ("A", "2", "x" + long[100:330], None), ("A", "3", long[250:299] + "yz", None), ("B", "1", "q" * 100, None), ("B", "2", "q" * 100, None), ("B", "3", None, long[400:]), ("B", "4", None, None)]
+    df = spark.createDataFrame(rows, "act_id string, element_id string, text string, intro string")
+    got = {(r.act_id, r.element_id): r.shared_length for r in longest_shared(df, 20).collect()}
+    assert got == brute_longest([r for r in rows if r[2] or r[3]], 20) and got["A", "1"] == 160 and got["A", "3"] == 40 and got["B", "1"] == 80
+    assert longest_shared(df.limit(0), 20).count() == 0
+    table = spark.read.parquet(f"{sf}/btk_mod_1.parquet")
+    assert {(r.act_id, r.element_id): r.shared_length for r in longest_shared(table).collect()} == brute_longest([(r.act_id, r.element_id, r.text, r.intro) for r in table.collect() if r.text or r.intro], 120)
