@@ -19,6 +19,11 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_bodies(read(spark, sf_dir, "dashes"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of equal-looking bodies, a row for each of their rows."""
+    return lookalike.equal_looking_classes(read(spark, sf_dir, "dashes")).select("row_id", "n_rows", "n_spellings")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared spans of every element."""
     return spans.shared_spans(read(spark, sf_dir, "btk_mod_1")).drop("body_chars")
@@ -82,7 +87,7 @@ def p8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.profiles(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_shares, p3_longest, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p3_found, p3_shares, p3_longest, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
 #: Fixed values for p1_found's SQL: what the characters of `dashes` look like.
 _ALIKE = ("АВСЕНІЈКМОРЅТХУаеорсухѕіјһӧΑΒΕΖΗΙΚΜΝΟΡΤΥΧονίόι", "ABCEHIJKMOPSTXYaeopcyxsijhöABEZHIKMNOPTYXovíói")
 _SPELLED = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ſt"), ("ﬆ", "st"), ("ǉ", "lj"), ("ǈ", "Lj"), ("ǌ", "nj"), ("ǋ", "Nj"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅴ", "V"), ("Ⅵ", "VI"), ("Ⅶ", "VII"), ("Ⅷ", "VIII"), ("Ⅸ", "IX"), ("Ⅹ", "X"), ("Ⅺ", "XI"), ("Ⅻ", "XII"))
@@ -102,6 +107,8 @@ def _form_sql(column: str) -> str:
 SQL = {
     "p1_found": f"""WITH b AS (SELECT row_id, coalesce(text, intro) AS body FROM dashes WHERE coalesce(text, intro) IS NOT NULL), f AS (SELECT row_id, body, {_form_sql("body")} AS form FROM b)
       SELECT x.row_id AS row_id_a, y.row_id AS row_id_b FROM f x JOIN f y ON x.form = y.form AND x.row_id < y.row_id AND x.body <> y.body""",
+    "p1_classes": f"""WITH b AS (SELECT row_id, coalesce(text, intro) AS body FROM dashes WHERE coalesce(text, intro) IS NOT NULL), f AS (SELECT row_id, body, {_form_sql("body")} AS form FROM b),
+      c AS (SELECT form, count(*) AS n_rows, count(DISTINCT body) AS n_spellings FROM f GROUP BY 1 HAVING count(DISTINCT body) > 1) SELECT row_id, n_rows, n_spellings FROM f JOIN c USING (form)""",
     "p3_found": """WITH e AS (SELECT DISTINCT act_id, element_id, coalesce(text, intro) AS body FROM btk_mod_1 WHERE length(coalesce(text, intro)) >= 120),
       w AS (SELECT act_id, element_id, p, substring(body, p + 1, 120) AS s FROM (SELECT *, unnest(range(length(body) - 119)) AS p FROM e)),
       c AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (act_id, element_id)) > 1), h AS (SELECT act_id, element_id, p FROM w SEMI JOIN c USING (s)),

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexweave.llm.lookalike import consistent, consistent_bodies, equal_looking_pairs, resolve
+from lexweave.llm.lookalike import consistent, consistent_bodies, equal_looking_classes, equal_looking_pairs, nearest_scripts, own_scripts, resolve
 
 ALIKE = [
     ("törvény", "törvény"), ("törvény", "tӧrvе́ny"), ("őz", "о̋z"), ("a b", "​a b﻿ "), ("víz", "vίz"), ("ﬁzet", "fizet"), ("zároǉa", "zárolja"), ("XII.", "Ⅻ."), ("ＸＩＩ", "ΧΙΙ"),
@@ -39,6 +39,8 @@ def test_defined_cases(spark):
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "row_id bigint, text string, intro string, form string, n int")
     assert sorted(map(tuple, equal_looking_pairs(df).collect())) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)]
     assert equal_looking_pairs(df.limit(0)).count() == 0
+    classes = [tuple(r)[:1] + tuple(r)[3:] for r in equal_looking_classes(df).collect()]
+    assert sorted(classes) == [(1, 4, 3), (2, 4, 3), (3, 4, 3), (4, 4, 3), (6, 2, 2), (7, 2, 2)] and equal_looking_classes(df.limit(0)).count() == 0
 
 
 def test_whole_table(spark):
@@ -59,3 +61,20 @@ def test_detection_of_mixed_and_whole_scripts(spark):
     got = {r.row_id: (r.form, r.detected) for r in consistent_bodies(df).collect()}
     assert {k: d for k, (_, d) in got.items()} == {1: "none", 2: "mixed", 3: "whole-script", 4: "none", 5: "mixed", 6: "mixed", 7: "none", 8: "none", 9: "none"}
     assert all(f == consistent(rows[k]) for k, (f, _) in got.items()) and got[3][0] == "a cop x"
+
+
+@pytest.mark.parametrize("a,b", [("ᎪᏴ", "AB"), ("ꓮꓐ", "AB"), ("օհ", "oh"), ("ɑlma", "alma"), ("𝐀dó", "Adó"), ("ʜ", "н"), ("1∕2", "1/2"), ("1⁄2", "1/2"), ("Ⲥор", "Сор"), ("ցս", "gu")])
+def test_further_scripts_and_signs(a, b):
+    assert consistent(a) == consistent(b)
+
+
+def test_script_extensions():
+    assert own_scripts("a") == {"Latin"} and own_scripts("1") == frozenset() and own_scripts("א") == {"Other"} and own_scripts("ー") == {"Other"}
+
+
+def test_neighbours_decide():
+    russian = "мир и сор в лесу, а рак сух"
+    assert consistent(russian) == russian
+    assert consistent("мир и cop") == "мир и сор" and consistent("a sor és a сор") == "a sor és a cop"
+    assert nearest_scripts(["cop", "мир", "cop", "cop", "sor", "cop"]) == ["Cyrillic", "Cyrillic", "Cyrillic", "Latin", "Latin", "Latin"]
+    assert nearest_scripts(["cop", "х"]) == [None, None]
