@@ -2,8 +2,9 @@
 
 A rolling hash over the characters gives landmarks that depend on the nearby text alone. Each cut is the natural boundary nearest to the
 first landmark between the smallest and the largest size of a piece, taken among the boundaries of the best class found there: between
-subpoints, sentences, clauses, words. So an edit moves the cuts next to it, and the following ones fall where they fell before. Only
-where a stretch holds no blank at all, a cut goes inside the word, at the landmark.
+subpoints, sentences, clauses, words. So an edit moves the cuts next to it, and the following ones fall where they fell before. A
+piece is smaller than the smallest size only before a run without blanks, as a cut between words is wanted wherever there is one; a cut
+goes inside a word, at the landmark, where the stretch holds no blank at all.
 
 Items within their limit never leave the JVM; each oversized one is cut by itself, in the task that reads it.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW = 16
 LANDMARKS_PER_PIECE = 8
 #: Smallest size of a piece, as a part of the largest.
-MIN_SHARE = 1 / 3
+MIN_SHARE = 0.6
 SUBPOINT, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1
 #: Abbreviations of Hungarian legal prose (and a few English and German ones) whose full stop ends no sentence.
 ABBREVIATIONS = frozenset("pl ill ún bek tv vhr ford szerk kb vö lásd ld i.e jan febr márc ápr máj jún júl aug szept okt nov dec dr id ifj özv prof mk szt sz old évf no nr art abs bzw z.b e.g cf mr mrs ca".split())

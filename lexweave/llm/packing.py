@@ -151,3 +151,22 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), tok: Tokenizer =
     """Containers of whole documents; every token of plain text bears loss. Null, empty texts need no place."""
     sized = count_tokens(docs, tok=tok)
     return pack(sized.withColumn("loss_tokens", F.col("n_tokens")), limits)
+
+
+#: Limits of instruction data: few examples to a container, and only answers bear loss.
+INSTRUCTION_LIMITS = Limits(tokens=2_048, segments=4, loss_tokens=1_536)
+
+
+def pack_instructions(docs: DataFrame, limits: Limits = INSTRUCTION_LIMITS, tok: Tokenizer = Tokenizer(), prompt: str = r"^[^\n]*\n?") -> DataFrame:
+    """Containers of examples: what the pattern matches at a text's beginning (its first line) is the prompt, whose tokens bear no loss.
+
+    Defined cases: null and empty texts need no place; a text that is all prompt bears no loss; the prompt is counted by itself and never
+    with more tokens than the whole; repeated rows of one doc_id are placed each.
+    """
+    # Counting makes one row of each; the prompt's count meets its text's by the row's place, since ids may occur twice.
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
+    whole = count_tokens(keyed, "key", tok=tok).withColumnRenamed("doc_id", "key")
+    heads = keyed.select("key", F.regexp_extract("text", prompt, 0).alias("head"))
+    head = count_tokens(heads, "key", "head", tok=tok).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("head_tokens"))
+    sized = whole.join(head, "key").join(keyed.select("key", "doc_id"), "key")
+    return pack(sized.select("doc_id", "n_tokens", (F.col("n_tokens") - F.least("n_tokens", "head_tokens")).alias("loss_tokens")), limits)

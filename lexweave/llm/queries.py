@@ -60,6 +60,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_no = 1 AND n_pieces > 1").select("row_id")
 
 
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized item put together again from its pieces, and whether these keep to the limit and the overlap of its kind."""
+    items, limits = read(spark, sf_dir, "numeric_subpoints"), read(spark, sf_dir, "chunk_limits")
+    pieces = chunking.split_items(items, limits).join(items.select("row_id", "kind"), "row_id").join(limits, "kind")
+    own = F.struct("piece_no", F.expr("substring(piece, cast(overlap + 1 as int))").alias("new"))
+    by = pieces.groupBy("row_id").agg(F.array_sort(F.collect_list(own)).alias("parts"), F.max(F.length("piece") - F.col("max_chars")).alias("over"), F.max(F.col("overlap") - F.col("overlap_chars")).alias("more"))
+    return by.select("row_id", F.md5(F.array_join(F.transform("parts", lambda p: p["new"]), "")).alias("item_md5"), (F.col("over") <= 0).alias("within"), (F.col("more") <= 0).alias("overlaps"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
@@ -77,6 +86,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / room).alias("least_containers"), F.max("used").alias("fullest"))
 
 
+def p7_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of instruction data, where segments and loss-bearing tokens bind beside tokens."""
+    return packing.pack_instructions(read(spark, sf_dir, "documents"))
+
+
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that needs a place, and whether its pieces are whole, in order and no more than they must be."""
+    by = p7_containers(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("last"), F.count("*").alias("pieces"))
+    return by.select("doc_id", (F.col("n") == F.col("last")).alias("whole"), (F.col("pieces") == F.ceil(F.col("n") / packing.Limits().tokens)).alias("fewest"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-stuffed and link-list pages."""
     return spam.spam_pages(read(spark, sf_dir, "documents"))
@@ -87,7 +107,7 @@ def p8_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.profiles(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p3_found, p3_shares, p3_longest, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p3_found, p3_shares, p3_longest, p4_found, p4_restored, p5_found, p5_pieces, p5_rejoined, p6_ids, p7_containers, p7_fill, p7_instructions, p7_placed, p8_found, p8_profiles)}
 #: Fixed values for p1_found's SQL: what the characters of `dashes` look like.
 _ALIKE = ("АВСЕНІЈКМОРЅТХУаеорсухѕіјһӧΑΒΕΖΗΙΚΜΝΟΡΤΥΧονίόι", "ABCEHIJKMOPSTXYaeopcyxsijhöABEZHIKMNOPTYXovíói")
 _SPELLED = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "ſt"), ("ﬆ", "st"), ("ǉ", "lj"), ("ǈ", "Lj"), ("ǌ", "nj"), ("ǋ", "Nj"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅴ", "V"), ("Ⅵ", "VI"), ("Ⅶ", "VII"), ("Ⅷ", "VIII"), ("Ⅸ", "IX"), ("Ⅹ", "X"), ("Ⅺ", "XI"), ("Ⅻ", "XII"))
@@ -104,17 +124,24 @@ def _form_sql(column: str) -> str:
     return f"trim(regexp_replace(nfc_normalize({out}), '[ ' || {blanks} || ']+', ' ', 'g'), ' ')"
 
 
+_SPANS = """WITH e AS (SELECT DISTINCT act_id, element_id, coalesce(text, intro) AS body FROM btk_mod_1 WHERE length(coalesce(text, intro)) >= 120),
+      w AS (SELECT act_id, element_id, p, substring(body, p + 1, 120) AS s FROM (SELECT *, unnest(range(length(body) - 119)) AS p FROM e)),
+      c AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (act_id, element_id)) > 1), h AS (SELECT act_id, element_id, p FROM w SEMI JOIN c USING (s)),
+      i AS (SELECT *, CASE WHEN p > lag(p) OVER o + 120 THEN 1 ELSE 0 END AS d FROM h WINDOW o AS (PARTITION BY act_id, element_id ORDER BY p)), g AS (SELECT *, sum(d) OVER (PARTITION BY act_id, element_id ORDER BY p) AS k FROM i)"""
+_ITEMS = """WITH c AS (SELECT n.row_id, l.max_chars, n.text, n.intro, n.wrap_up, from_json(children, '[{"__type__":"VARCHAR","identifier":"VARCHAR","text":"VARCHAR"}]') AS kids FROM numeric_subpoints n JOIN chunk_limits l USING (kind)),
+      t AS (SELECT row_id, max_chars, CASE WHEN text IS NOT NULL THEN text ELSE array_to_string(list_filter(list_concat([intro], list_transform(coalesce(kids, []), lambda x: x.identifier || CASE WHEN x."__type__" = 'NumericSubpoint' THEN '. ' ELSE ') ' END || x.text), [wrap_up]), lambda x: x IS NOT NULL), ' ') END AS item FROM c)"""
 SQL = {
     "p1_found": f"""WITH b AS (SELECT row_id, coalesce(text, intro) AS body FROM dashes WHERE coalesce(text, intro) IS NOT NULL), f AS (SELECT row_id, body, {_form_sql("body")} AS form FROM b)
       SELECT x.row_id AS row_id_a, y.row_id AS row_id_b FROM f x JOIN f y ON x.form = y.form AND x.row_id < y.row_id AND x.body <> y.body""",
     "p1_classes": f"""WITH b AS (SELECT row_id, coalesce(text, intro) AS body FROM dashes WHERE coalesce(text, intro) IS NOT NULL), f AS (SELECT row_id, body, {_form_sql("body")} AS form FROM b),
       c AS (SELECT form, count(*) AS n_rows, count(DISTINCT body) AS n_spellings FROM f GROUP BY 1 HAVING count(DISTINCT body) > 1) SELECT row_id, n_rows, n_spellings FROM f JOIN c USING (form)""",
-    "p3_found": """WITH e AS (SELECT DISTINCT act_id, element_id, coalesce(text, intro) AS body FROM btk_mod_1 WHERE length(coalesce(text, intro)) >= 120),
-      w AS (SELECT act_id, element_id, p, substring(body, p + 1, 120) AS s FROM (SELECT *, unnest(range(length(body) - 119)) AS p FROM e)),
-      c AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (act_id, element_id)) > 1), h AS (SELECT act_id, element_id, p FROM w SEMI JOIN c USING (s)),
-      i AS (SELECT *, CASE WHEN p > lag(p) OVER o + 120 THEN 1 ELSE 0 END AS d FROM h WINDOW o AS (PARTITION BY act_id, element_id ORDER BY p)), g AS (SELECT *, sum(d) OVER (PARTITION BY act_id, element_id ORDER BY p) AS k FROM i)
+    "p3_found": f"""{_SPANS}
       SELECT act_id, element_id, min(p)::BIGINT AS start_pos, (max(p) + 120)::BIGINT AS end_pos FROM g GROUP BY act_id, element_id, k""",
-    "p5_found": """WITH c AS (SELECT n.row_id, l.max_chars, n.text, n.intro, n.wrap_up, from_json(children, '[{"__type__":"VARCHAR","identifier":"VARCHAR","text":"VARCHAR"}]') AS kids FROM numeric_subpoints n JOIN chunk_limits l USING (kind)),
-      t AS (SELECT row_id, max_chars, CASE WHEN text IS NOT NULL THEN text ELSE array_to_string(list_filter(list_concat([intro], list_transform(coalesce(kids, []), lambda x: x.identifier || CASE WHEN x."__type__" = 'NumericSubpoint' THEN '. ' ELSE ') ' END || x.text), [wrap_up]), lambda x: x IS NOT NULL), ' ') END AS item FROM c)
+    "p3_shares": f"""{_SPANS}, z AS (SELECT act_id, element_id, max(p) + 120 - min(p) AS chars FROM g GROUP BY act_id, element_id, k), y AS (SELECT act_id, element_id, sum(chars)::BIGINT AS shared_chars FROM z GROUP BY 1, 2)
+      SELECT y.*, length(body) AS body_chars, shared_chars / length(body) AS share FROM y JOIN e USING (act_id, element_id)""",
+    "p5_found": f"""{_ITEMS}
       SELECT row_id FROM t WHERE length(item) > max_chars""",
+    "p5_rejoined": f"""{_ITEMS}
+      SELECT row_id, md5(item) AS item_md5, true AS within, true AS overlaps FROM t WHERE length(item) > max_chars""",
+    "p7_placed": "SELECT doc_id, true AS whole, true AS fewest FROM documents WHERE length(text) > 0",
 }

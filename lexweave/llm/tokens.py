@@ -158,8 +158,8 @@ def encode_column(text: Column, tok: Tokenizer = Tokenizer()) -> Column:
     return ids(text)
 
 
-def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok: Tokenizer = Tokenizer()) -> DataFrame:
-    """doc_id and n_tokens of every row; null and empty texts have none.
+def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok: Tokenizer = Tokenizer(), long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """doc_id and n_tokens of every row; null and empty texts have none, long ones are counted by their leaves.
 
     A map and not a column: filters on the count would be pushed below a column and have every text encoded twice.
     """
@@ -169,7 +169,10 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()], pa.int32())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens int")
+    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
+    short = plain.where(~is_long).mapInArrow(run, "doc_id bigint, n_tokens int")
+    return short.unionByName(_long_ids(plain.where(is_long), tok, leaf_chars).select("doc_id", F.size("ids").alias("n_tokens")))
 
 
 def _long_ids(long: DataFrame, tok: Tokenizer, leaf_chars: int) -> DataFrame:
@@ -177,9 +180,9 @@ def _long_ids(long: DataFrame, tok: Tokenizer, leaf_chars: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = list(leaves(text.as_py(), tok.pattern, leaf_chars))
-                yield pa.record_batch([pa.array([doc] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True))], names=["doc_id", "seq", "run", "leaf"])
+                yield pa.record_batch([pa.array([doc] * len(found), pa.int64()), pa.array([key] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True))], names=["doc_id", "key", "seq", "run", "leaf"])
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -189,11 +192,13 @@ def _long_ids(long: DataFrame, tok: Tokenizer, leaf_chars: int) -> DataFrame:
     def tree(parts: pa.Array) -> pa.Array:
         return _list_array(concatenate(((p["run"], p["ids"]) for p in ps), tok) for ps in parts.to_pylist())
 
-    cut_up = long.mapInArrow(cut, "doc_id bigint, seq int, run int, leaf string")
+    # Rows are known by where they lie, since document ids may occur twice; a lost task gives its rows the same keys again.
+    keyed = long.select("doc_id", F.monotonically_increasing_id().alias("key"), "text")
+    cut_up = keyed.mapInArrow(cut, "doc_id bigint, key bigint, seq int, run int, leaf string")
     # A text's leaves lie in one input partition; without this exchange one task would encode them all.
-    spread = cut_up.repartition(F.col("doc_id"), F.col("seq"))
-    encoded = spread.select("doc_id", "seq", "run", ids("leaf", "run").alias("ids"))
-    gathered = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "run", "ids"))).alias("parts"))
+    spread = cut_up.repartition(F.col("key"), F.col("seq"))
+    encoded = spread.select("doc_id", "key", "seq", "run", ids("leaf", "run").alias("ids"))
+    gathered = encoded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "run", "ids"))).alias("parts"))
     return gathered.select("doc_id", tree("parts").alias("ids"))
 
 
@@ -201,8 +206,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """doc_id and ids of every row of docs.
 
     Defined cases: null and empty texts have the empty list; blank texts their tokens; marker strings are ordinary text; rows with equal
-    texts have equal lists; extra columns are not read. Document ids must be unique among texts of more than long_chars, as their leaves
-    are gathered by id. An empty table gives an empty table.
+    texts have equal lists; rows of one id are encoded each; extra columns are not read. An empty table gives an empty table.
     """
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))

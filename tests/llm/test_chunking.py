@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,23 @@ def test_whole_table(spark, sf):
         body, size, overlap = bodies[k]
         assert "".join(r.piece[r.overlap :] for r in rows) == body
         assert max(len(r.piece) for r in rows) <= size and max(r.overlap for r in rows) <= overlap
+
+
+def test_pieces_come_near_the_limit():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdeő") for _ in range(rng.randint(2, 9))) for _ in range(4000))
+    found = split(text, 400, 40)
+    sizes = [p.end_pos - p.start_pos for p in found[:-1]]
+    assert min(sizes) >= 0.6 * 400 and sum(sizes) / len(sizes) > 0.7 * 400
+
+
+def test_edits_stay_local():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeő") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", "", ",", "."]) for _ in range(5000)]
+    changed = []
+    for _ in range(40):
+        k = rng.randrange(len(words))
+        a, b = (" ".join(w) for w in (words, [*words[:k], "új", *words[k:]]))
+        old, new = ({t[p.start_pos : p.end_pos] for p in split(t, 400, 40)} for t in (a, b))
+        changed.append(len(new - old))
+    assert sum(changed) / len(changed) < 8 and len(old) > 60

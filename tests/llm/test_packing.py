@@ -61,3 +61,24 @@ def test_whole_table(spark, sf):
     sizes = {r.doc_id: len(encoding(Tokenizer()).encode_ordinary(r.text or "")) for r in df.collect()}
     n = check(pack_documents(df).collect(), Limits(), sizes)
     assert n <= -(-sum(sizes.values()) // 2048) * 1.1 + 1
+
+
+def test_instruction_data(spark):
+    from lexweave.llm.packing import pack_instructions
+    from lexweave.llm.tokens import encoding as enc_of
+
+    texts = [(i, f"Kérdés {i}\n" + "szó " * (5 + 37 * i % 300)) for i in range(120)] + [(7, "Csak kérdés"), (7, None), (8, ""), (9, "Kérdés\n" + "válasz " * 900)]
+    df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id bigint, text string, loss_tokens int")
+    limits = Limits(600, 4, 400)
+    rows = pack_instructions(df, limits).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.container_id].append(r)
+    sums = [(sum(r.n_tokens for r in g), len(g), sum(r.loss_tokens for r in g)) for g in by.values()]
+    assert all(t <= 600 and n <= 4 and x <= 400 for t, n, x in sums)
+    # Each of the limits is what fills some container, and the prompts bear no loss.
+    assert any(n == 4 and x < 350 for _, n, x in sums) and any(x > 390 and n < 4 for _, n, x in sums)
+    enc = enc_of(Tokenizer())
+    assert sum(r.n_tokens for r in rows) == sum(len(enc.encode_ordinary(t)) for _, t in texts if t)
+    assert not any(r.loss_tokens for r in rows if r.doc_id == 7 and r.n_tokens < 6)
+    assert pack_instructions(df.limit(0), limits).count() == 0

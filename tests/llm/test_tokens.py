@@ -44,3 +44,13 @@ def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     want = {r.doc_id: encoding(TOK).encode_ordinary(r.text or "") for r in df.collect()}
     assert {r.doc_id: list(r.ids) for r in encode_corpus(df, long_chars=500, leaf_chars=100).collect()} == want
+
+
+def test_long_texts_of_one_id_and_counts(spark):
+    from lexweave.llm.tokens import count_tokens
+
+    rows = [(1, "szó " * 9000), (1, "y" * 30_000), (1, "y" * 30_000), (1, "rövid"), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted((i, encoding(TOK).encode_ordinary(t) if t else []) for i, t in rows)
+    assert sorted((r.doc_id, list(r.ids)) for r in encode_corpus(df).collect()) == want
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(df).collect()) == sorted((i, len(x)) for i, x in want)
