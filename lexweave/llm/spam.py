@@ -96,10 +96,10 @@ FEW = 3
 LEAST_WORDS = 8
 LEAST_CHARS = 40
 
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_EDGES = ".,;:!?()[]„”\"'«»"
+_SETS = {k: frozenset(w.strip(_EDGES) for w in v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*(_SETS[k] for k in ("hu", "en", "de")))
 _TELLING = {k: re.compile(f"[{v}]") for k, v in TELLING_LETTERS.items()}
-_EDGES = ".,;:!?()[]„”\"'«»"
 _LINK = re.compile(r"\[url=[^\]\s]*\].*?\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?(?=[\s,;|]|$)", re.I)
 _MARKS = ("http", "www.", "#", "](")
 _LINKISH = re.compile(r"https?://|www\.|#\w|\[url|href=|\[?[^\s\]]*\]\(|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:[/?]\S*)?$")
@@ -161,9 +161,16 @@ def _held_together(words: list[str]) -> float:
     return sum(n for w, n in times.items() if n > 1 and len(behind[w]) > n / 2) / max(1, len(words))
 
 
+def _top(counts: Counter[str], words: int) -> float:
+    """Share of the five commonest words, of those that occur more than twice."""
+    return sum(sorted(k for k in counts.values() if k > 2)[-5:]) / max(1, words)
+
+
 def _recurring(words: list[str], n: int) -> float:
     """Share of the words' sequences of n that occur more than twice."""
     found = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+    if len(found) >= len(words) - n:  # at most one sequence occurs again, and only once
+        return 0.0
     return sum(k for k in found.values() if k > 2) / max(1, len(words))
 
 
@@ -176,6 +183,11 @@ def _stretches(words: list[str], flags: np.ndarray, least: float) -> np.ndarray:
     return (sums[hi] - sums[lo]) < least * (hi - lo)
 
 
+def spelled_words(lowered: str) -> list[str]:
+    """Words that aren't numbers."""
+    return [w for w in _WORD.findall(lowered) if not w.isdigit()]
+
+
 def evidence(text: str, words: list[str] | None = None, least: int = 1) -> tuple[float, float, float, float, float, float, float, float, float]:
     """top_words, word_pairs, word_triples, word_fours, duplicate_lines, links, tags, separators, offers of a stretch of text, whose words
     may be given. Among the top words count those of at least `least` characters."""
@@ -185,13 +197,11 @@ def evidence(text: str, words: list[str] | None = None, least: int = 1) -> tuple
     tags = _TAG.findall(text)
     bare = _LINK.sub(" ", text) if links else text
     lowered = bare.lower()
-    if words is None or links:
-        words = _WORD.findall(lowered)
-    spelled = [w for w in words if not w.isdigit()]
+    spelled = spelled_words(lowered) if words is None or links else words
     n = max(1, len(spelled))
     counts = Counter(w for w in spelled if len(w) >= least)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    top = sum(k for _, k in counts.most_common(5) if k > 2) / n
+    top = _top(counts, n)
     again = _recurring(spelled, 2)
     # Longer sequences recur only where pairs do.
     longer = (_recurring(spelled, 3), _recurring(spelled, 4)) if again else (0.0, 0.0)
@@ -209,11 +219,8 @@ def echoes(words: list[str]) -> float:
 def whole_page(text: str, words: list[str]) -> tuple[float, float, float]:
     """page_top_words, page_word_pairs, page_duplicate_lines."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    words = [w for w in words if w not in _ANY and not w.isdigit()]
-    pairs = Counter(zip(words, words[1:], strict=False))
-    n = max(1, len(words))
-    top = sum(k for _, k in Counter(words).most_common(5) if k > 2) / n
-    return top, sum(k for k in pairs.values() if k > 2) / n, 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
+    words = [w for w in words if w not in _ANY]
+    return _top(Counter(words), len(words)), _recurring(words, 2), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0
 
 
 def profile(text: str | None) -> Profile:
@@ -225,14 +232,14 @@ def profile(text: str | None) -> Profile:
     lowered = text.lower().split()
     bare = [w.strip(_EDGES) for w in lowered]
     counts = Counter(bare)
-    hits = {k: sum(counts[w] for w in s if w in counts) for k, s in _SETS.items()}
+    hits = {k: sum(map(counts.__getitem__, s & counts.keys())) for k, s in _SETS.items()}
     language = _language(hits, len(lowered), text)
     held = bool(language) or _held_together(bare) >= HELD
     limits = LIMITS[language] if language else UNKNOWN if held else NOT_HELD
     # Pages may change their language, so the words of every one that has a share count.
     own = frozenset().union(*(_SETS[k] for k, n in hits.items() if k == language or n >= TOLD * len(lowered)))
     own = own | _ANY if language in ("hu", "en", "de") else own
-    found = np.fromiter((w in own or v in own for v, w in zip(lowered, bare, strict=True)), dtype=bool, count=len(lowered))
+    found = np.fromiter(map(own.__contains__, bare), dtype=bool, count=len(lowered))
     chars = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     density = float(found.mean())
     sparse = _stretches(lowered, found, limits.function_words) if language else np.ones(len(lowered), dtype=bool)
@@ -242,7 +249,7 @@ def profile(text: str | None) -> Profile:
         sparse |= np.fromiter((_LINKISH.match(w) is not None for w in lowered), dtype=bool, count=len(lowered))
         share = float(chars[sparse].sum() / chars.sum())
     few = bool(language) and density < FEW * limits.function_words and len(lowered) >= LEAST_WORDS
-    words = _WORD.findall(text.lower())
+    words = spelled_words(text.lower())
     page = whole_page(text, words)
     echo = echoes(lowered) if few or not language else 0.0
     reasons = []
