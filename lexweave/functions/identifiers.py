@@ -45,7 +45,7 @@ def next_article(a: Column, b: Column) -> Column:
 def next_identifier(kind: Column, a: Column, b: Column) -> Column:
     """Does b follow a among siblings of the kind?"""
     prefixed = (F.length(a) > 1) & (F.length(b) > 1)
-    sub = F.when(prefixed, (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & next_letter(F.substring(a, 2, 9), F.substring(b, 2, 9))).otherwise(next_letter(a, b))
+    sub = F.when(prefixed, (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & next_letter(F.substr(a, F.lit(2)), F.substr(b, F.lit(2)))).otherwise(next_letter(a, b))
     return F.when(kind == "Article", next_article(a, b)).when(kind == "AlphabeticPoint", next_letter(a, b)).when(kind == "AlphabeticSubpoint", sub).otherwise(next_number(a, b))
 
 

@@ -44,13 +44,13 @@ def roman_value(s: Column) -> Column:
 def roman_to_arabic(s: Column) -> Column:
     """XII/A to 12/A; null without a numeral at the start."""
     head = F.regexp_extract(s, "^([MDCLXVI]+)", 1)
-    return F.concat(roman_value(head).cast("string"), F.substring(s, F.length(head) + 1, 1000))
+    return F.concat(roman_value(head).cast("string"), F.substr(s, F.length(head) + 1))
 
 
 def arabic_to_roman(s: Column) -> Column:
     """12/A to XII/A; null without a number at the start."""
     head = F.regexp_extract(s, "^([0-9]+)", 1)
-    return F.concat(roman(head.try_cast("int")), F.substring(s, F.length(head) + 1, 1000))
+    return F.concat(roman(head.try_cast("int")), F.substr(s, F.length(head) + 1))
 
 
 def month_number(word: Column) -> Column:

@@ -56,11 +56,12 @@ def line_bold(parts: Column) -> Column:
 
 
 def split_amendment_intro(intro: Column) -> tuple[Column, Column]:
-    """The intro of a block amendment without its bracketed context, and the context; null if it has none."""
-    p = r"^(.*:) ?(\(.*\)|\[.*\])$"
-    context = F.regexp_extract(intro, p, 2)
-    has = intro.rlike(p)
-    return F.when(has, F.regexp_extract(intro, p, 1)).otherwise(intro), F.when(has, F.regexp_replace(context, r"^.|.$", ""))
+    """The intro of a block amendment up to its colon, and the bracketed context that fills the rest; null if it has none."""
+    # Of several colons with a bracket behind them the last one begins the context.
+    tail = F.regexp_extract(intro, r"(?<=:) ?[(\[](?:[^:]|:(?! ?[(\[]))*[)\]]$", 0)
+    inside = F.trim(tail)
+    has = F.length(tail) > 0
+    return F.when(has, F.left(intro, F.length(intro) - F.length(tail))).otherwise(intro), F.when(has, F.substr(inside, F.lit(2), F.length(inside) - 2))
 
 
 def fix_glyphs(s: Column) -> Column:

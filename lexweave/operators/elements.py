@@ -108,23 +108,43 @@ def cut_by_identifier(elements: DataFrame, ranges: DataFrame) -> DataFrame:
     return with_id_key(elements).join(r, on).drop("r_act", "r_parent", "lo", "hi", "id_key")
 
 
-def with_context(elements: DataFrame, keys: tuple[str, str] = ("act_id", "element_id"), max_depth: int = 6) -> DataFrame:
+def ancestors(elements: DataFrame, keys: tuple[str, str] = ("act_id", "element_id")) -> DataFrame:
+    """act, id, ancestor, level (1 for the parent) of every element and all it stands in, as deep as the elements are.
+
+    Only ids are joined, one level at a time, until none has anything above it. An element that would stand below itself ends there.
+    """
+    act, own = keys
+    up = elements.select(F.col(act).alias("u_act"), F.col(own).alias("u_id"), F.col("parent_id").alias("u_parent")).where("u_parent IS NOT NULL").distinct()
+    level = cut_lineage(up.select(F.col("u_act").alias("act"), F.col("u_id").alias("id"), F.col("u_parent").alias("ancestor"), F.lit(1).alias("level"), F.array("u_id", "u_parent").alias("seen")))
+    found = level
+    while not level.isEmpty():
+        above = level.join(up, (F.col("act") == F.col("u_act")) & (F.col("ancestor") == F.col("u_id"))).where(~F.array_contains("seen", F.col("u_parent")))
+        level = cut_lineage(above.select("act", "id", F.col("u_parent").alias("ancestor"), (F.col("level") + 1).alias("level"), F.concat("seen", F.array("u_parent")).alias("seen")))
+        found = found.unionByName(level)
+    return found.drop("seen")
+
+
+def with_context(elements: DataFrame, keys: tuple[str, str] = ("act_id", "element_id")) -> DataFrame:
     """Adds prefix, postfix and sentence: an element's text (or intro) between the intros and wrap-ups of all it stands in.
 
-    One join per level of depth, all on act and parent; an element without ancestors keeps its own text. In amendments context ends at
-    the block.
+    What stands above comes from ids alone; then one join brings the intros and wrap-ups of those that have any, and one puts them beside
+    their elements. An element without ancestors keeps its own text. In amendments context ends at the block.
     """
     act, own = keys
-    up = elements.select(F.col(act).alias("u_act"), F.col(own).alias("u_id"), F.col("parent_id").alias("u_parent"), F.col("intro").alias("u_intro"), F.col("wrap_up").alias("u_wrap"))
-    out = elements.withColumn("prefix", F.lit("")).withColumn("postfix", F.lit("")).withColumn("_up", F.col("parent_id"))
-    for _ in range(max_depth):
-        joined = out.join(up, (F.col(act) == F.col("u_act")) & (F.col("_up") == F.col("u_id")), "left")
-        out = joined.withColumn("prefix", F.concat(F.coalesce(F.concat("u_intro", F.lit(" ")), F.lit("")), "prefix")).withColumn("postfix", F.concat("postfix", F.coalesce(F.concat(F.lit(" "), "u_wrap"), F.lit("")))).withColumn("_up", F.col("u_parent")).drop("u_act", "u_id", "u_parent", "u_intro", "u_wrap")
+    around = elements.where("intro IS NOT NULL OR wrap_up IS NOT NULL").select(F.col(act).alias("u_act"), F.col(own).alias("u_id"), F.col("intro").alias("u_intro"), F.col("wrap_up").alias("u_wrap"))
+    parts = ancestors(elements, keys).join(around, (F.col("act") == F.col("u_act")) & (F.col("ancestor") == F.col("u_id")))
+    # Of the rows above an element there are as many as it is deep.
+    by = parts.groupBy("act", "id").agg(F.array_sort(F.collect_list(F.struct("level", "u_intro", "u_wrap"))).alias("ups"))
+    told = lambda c: F.filter(F.transform("ups", lambda u: u[c]), lambda x: x.isNotNull())
+    glued = by.select(
+        F.col("act").alias("c_act"), F.col("id").alias("c_id"), F.array_join(F.transform(F.reverse(told("u_intro")), lambda x: F.concat(x, F.lit(" "))), "").alias("c_prefix"), F.array_join(F.transform(told("u_wrap"), lambda x: F.concat(F.lit(" "), x)), "").alias("c_postfix")
+    )
+    out = elements.join(glued, (F.col(act) == F.col("c_act")) & (F.col(own) == F.col("c_id")), "left").withColumn("prefix", F.coalesce("c_prefix", F.lit(""))).withColumn("postfix", F.coalesce("c_postfix", F.lit(""))).drop("c_act", "c_id", "c_prefix", "c_postfix")
     is_text = F.col("text").isNotNull()
     post = F.when(is_text, F.col("postfix")).otherwise(F.lit(""))
     middle = F.coalesce("text", "intro")
     fixed = F.when(post == "", fix_list_end(middle)).otherwise(fix_list_end(middle, False))
-    return out.withColumn("postfix", post).withColumn("sentence", F.concat("prefix", fixed, "postfix")).drop("_up")
+    return out.withColumn("postfix", post).withColumn("sentence", F.concat("prefix", fixed, "postfix"))
 
 
 def open_amendments(elements: DataFrame) -> DataFrame:
@@ -182,10 +202,15 @@ def map_elements(elements: DataFrame, change: Callable[[DataFrame], dict[str, Co
 
 
 def subtree(elements: DataFrame, roots: DataFrame) -> DataFrame:
-    """Elements that are, or stand below, one of the roots (act_id, root_id, root_path): their paths begin with the root's."""
+    """Elements that are, or stand below, one of the roots (act_id, root_id, root_path): their paths begin with the root's.
+
+    Paths are spread into their prefixes, so act and path meet in an equi-join; only the paths are spread, not the texts.
+    """
     r = roots.select(F.col("act_id").alias("r_act"), "root_id", "root_path")
-    begins = F.slice(F.col("path"), F.lit(1), F.size("root_path")) == F.col("root_path")
-    return elements.join(r, (F.col("act_id") == F.col("r_act")) & begins).drop("r_act", "root_path")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k)))
+    spread_out = elements.where(F.size("path") > 0).select("act_id", "path", prefixes.alias("_prefix")).distinct()
+    below = spread_out.join(r, (F.col("act_id") == F.col("r_act")) & (F.col("_prefix") == F.col("root_path"))).select("act_id", "path", "root_id")
+    return elements.join(below, ["act_id", "path"])
 
 
 def invariants(elements: DataFrame) -> DataFrame:

@@ -5,18 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.dates import hungarian_date
+from lexweave.operators.groups import map_groups
 
 #: The headings of a gazette's sections; acts stand in the second.
 SECTIONS = ("Tartalomjegyzék", "II. Törvények", "III. Kormányrendeletek", "IV. A Magyar Nemzeti Bank elnökének rendeletei,", "V. A Kormány tagjainak rendeletei", "VI.Az Alkotmánybíróság határozatai, teljes ülési", "VII. A Kúria határozatai", "IX. Határozatok Tára")
 LAWS = SECTIONS[1]
-#: How acts begin and end.
-ACT_HEADER = r"^[12][09][0-9][0-9]. évi [IVXLC]+. törvény"
-ACT_FOOTER = r"^köztársasági elnök az Országgyűlés (al)?elnöke"
+#: How acts begin (a year of the last centuries, its number in Roman numerals) and how their signatures end.
+ACT_HEADER = r"^(?:19|2[0-9])\d{2}\. évi [IVXLC]+\. törvény"
+ACT_FOOTER = r"^köztársasági elnök\s+az Országgyűlés (?:elnöke|alelnöke)"
 TITLE_WORDS = "MAGYAR KÖZLÖNY"
 _HEADER, _FOOTER = re.compile(ACT_HEADER), re.compile(ACT_FOOTER)
 
@@ -50,10 +51,10 @@ def section_lines(lines: DataFrame) -> DataFrame:
     return body.select(*columns).unionByName(ends)
 
 
-def _cut_acts(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """(act, subject, first, last, complete) of the acts between rows of one section; a blank line, then a header, then the subject up to
-    an asterisk, then the body up to the signatures."""
-    content = pdf["content"].tolist()
+def _cut_acts(rows: list[dict]) -> Iterator[dict]:
+    """The body lines of the acts in one section; a blank line, then a header, then the subject up to an asterisk, then the body up to the
+    signatures."""
+    content = [r["content"] for r in rows]
     n, i = len(content), 0
     while i < n:
         while i < n and content[i]:
@@ -69,29 +70,24 @@ def _cut_acts(pdf: pd.DataFrame) -> Iterator[tuple]:
         start = i
         while i < n and not (i - start >= 3 and not content[i - 2] and _FOOTER.match(content[i])):
             i += 1
-        yield act, " ".join(subject).rstrip("*"), start, i - 2 if i < n else n, i < n
+        body = content[start : i - 2 if i < n else n]
+        note = next((k for k in range(1, len(body) - 1) if body[k].startswith("*") and not body[k - 1] and not body[k + 1]), None)
+        if note is not None and note >= 2:
+            body = body[: note - 1] + [""] + body[note + 2 :]
+        told = {"issue_id": rows[0]["issue_id"], "act_id": act, "subject": " ".join(subject).rstrip("*"), "complete": i < n}
+        yield from (told | {"line_no": k, "content": c} for k, c in enumerate(body))
         i += 1
 
 
 def act_lines(sections: DataFrame, issues: DataFrame) -> DataFrame:
     """act_id, subject, publication_date, complete, line_no (from 0), content: the body lines of the acts in the sections of laws.
 
-    A section is one run of pages, and only lines near its headers matter; they are found in order, one section per task. An act without
+    A section is one run of pages of one issue; sections stream through their tasks sorted, one at a time in memory. An act without
     signatures at the end of its section comes out with complete = false instead of being lost. The note that a body's asterisk refers
     to is left out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_no", "line_no"]).reset_index(drop=True)
-        rows = []
-        for act, subject, first, last, complete in _cut_acts(pdf):
-            body = pdf["content"].tolist()[first:last]
-            note = next((k for k in range(1, len(body) - 1) if body[k].startswith("*") and not body[k - 1] and not body[k + 1]), None)
-            if note is not None and note >= 2:
-                body = body[: note - 1] + [""] + body[note + 2 :]
-            rows += [(pdf["issue_id"].iloc[0], act, subject, complete, k, c) for k, c in enumerate(body)]
-        return pd.DataFrame(rows, columns=["issue_id", "act_id", "subject", "complete", "line_no", "content"])
-
-    laws = sections.where(F.col("section") == LAWS)
-    cut = laws.groupBy("issue_id", "section_no").applyInPandas(run, "issue_id string, act_id string, subject string, complete boolean, line_no int, content string")
-    return cut.join(issues, "issue_id").select("issue_id", "act_id", "subject", "publication_date", "complete", "line_no", "content")
+    laws = sections.where(F.col("section") == LAWS).select("issue_id", "section_no", "page_no", "line_no", "content")
+    arrow = pa.schema([("issue_id", pa.string()), ("act_id", pa.string()), ("subject", pa.string()), ("complete", pa.bool_()), ("line_no", pa.int32()), ("content", pa.string())])
+    keyed = laws.withColumn("issue_id", F.col("issue_id").cast("string"))
+    cut = map_groups(keyed, ["issue_id", "section_no"], ["page_no", "line_no"], _cut_acts, "issue_id string, act_id string, subject string, complete boolean, line_no int, content string", arrow)
+    return cut.join(issues.withColumn("issue_id", F.col("issue_id").cast("string")), "issue_id").select("issue_id", "act_id", "subject", "publication_date", "complete", "line_no", "content")

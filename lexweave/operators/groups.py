@@ -36,9 +36,13 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], functio
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores, by hash of keys, if it comes from fewer files than there are cores; else as it lies.
+    """df over all cores, by hash of keys, if it is too small to be read by as many tasks as there are cores; else as it lies.
 
-    For work that costs far more than moving a row. Large tables have files enough and aren't moved.
+    For work that costs far more than moving a row. What counts is the optimizer's estimate of the size, so no files are listed and
+    nothing is run. Large tables have partitions enough and aren't moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, *keys) if len(df._jdf.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(2 * cores, *keys) if estimate < cores * task else df

@@ -39,14 +39,14 @@ def resolved(found: DataFrame) -> DataFrame:
     return put.unionByName(rest)
 
 
-def analyze_elements(elements: DataFrame, max_depth: int = 6) -> Semantics:
+def analyze_elements(elements: DataFrame) -> Semantics:
     """Semantics of elements (act_id, element_id, parent_id, path, text, intro, wrap_up, in_amendment).
 
     Elements inside amendments belong to other acts and are not analysed. A citation counts for the element in whose own wording it
     ends; what lies before is cut off its front. Records are those of the whole sentence.
     """
     own = elements.where(~F.coalesce(F.col("in_amendment"), F.lit(False)) & (F.col("text").isNotNull() | F.col("intro").isNotNull()))
-    sentences = with_context(own, max_depth=max_depth).withColumn("_skip", F.length("prefix")).withColumn("_most", F.length("sentence") - F.length("postfix"))
+    sentences = with_context(own).withColumn("_skip", F.length("prefix")).withColumn("_most", F.length("sentence") - F.length("postfix"))
     found = cut_lineage(resolved(cut_lineage(S.analyze_sentences(sentences, [*KEYS, "_skip", "_most"], "sentence"))))
     keys = [*KEYS, "_skip", "_most"]
     cited = S.citations(found, keys).where("end_pos > _skip AND end_pos <= _most")

@@ -77,7 +77,7 @@ def html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The acts as nested JSON, and from it again as rows by the nested-records operator."""
+    """The acts as nested JSON, and from it again as rows by the nested-records operator; acts longer than a part come part by part."""
     from lexweave.operators.nested import flatten_nested
 
     j = render.nested_json(_elements(spark, sf_dir)).select(F.col("act_id").cast("bigint").alias("record_id"), F.col("json").alias("children"))
@@ -92,7 +92,7 @@ def _deduped(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sentence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element's sentence between the intros and wrap-ups of what it stands in."""
-    e = E.with_context(_deduped(spark, sf_dir, "btk_mod_1"), max_depth=4).where("sentence IS NOT NULL")
+    e = E.with_context(_deduped(spark, sf_dir, "btk_mod_1")).where("sentence IS NOT NULL")
     return e.select("act_id", "element_id", F.length("prefix").cast("bigint").alias("prefix_chars"), F.md5("sentence").alias("sentence_md5"))
 
 
@@ -166,7 +166,7 @@ def semantic_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("A vízről szóló "), F.col("named"), F.lit(" (a továbbiakban: "), F.col("short"), F.lit(") irányadó"))).otherwise(F.concat(F.lit("a "), F.col("short"), F.lit(" 3. §-a szerint, és")))
     null = F.lit(None).cast("string")
     e = o.select(F.col("o_custkey").cast("string").alias("act_id"), F.col("o_orderkey").cast("string").alias("element_id"), null.alias("parent_id"), F.array(F.col("o_orderkey").cast("int")).alias("path"), text.alias("text"), null.alias("intro"), null.alias("wrap_up"), F.lit(False).alias("in_amendment"))
-    c = analyze_elements(e, max_depth=1).citations
+    c = analyze_elements(e).citations
     return c.select(F.col("element_id").alias("o_orderkey"), F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"), "act", "article_first")
 
 

@@ -27,6 +27,7 @@ FUNCTIONS = {
 }
 
 
+# Arrow table functions would be called by batches, but Spark does not let them stand in a lateral join, which is how these are used.
 @udtf(returnType=", ".join(f"{c} {t}" for c, _, t in _FIELDS))
 class Analyze:
     """Citations, abbreviations and records of a sentence."""

@@ -40,7 +40,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -49,6 +49,8 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own

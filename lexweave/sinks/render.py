@@ -1,7 +1,8 @@
 """Acts as JSON, plain text and HTML.
 
-Each element becomes a fragment by a Column expression of its kind; fragments of an act are put in document order by their path. Nothing
-but the fragments of one act, which is one output row, meets in a task.
+Each element becomes a fragment by a Column expression of its kind; fragments are put in document order by their path, article by article,
+and articles are joined to documents of at most PART_CHARS characters and one article. An act that is longer comes in several rows,
+numbered by `part`, so nothing grows with an act. `pieces` are the fragments themselves, to be written in order.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from lexweave.functions.identifiers import header_prefix
 from lexweave.functions.numerals import arabic_to_roman, ordinal_word
 from lexweave.kernels.structure import SPECIAL_PARTS
 from lexweave.operators.groups import map_groups
+from lexweave.operators.scans import running_sum
+from lexweave.session import cut_lineage
 
 
 def formatted_heading(kind: Column, identifier: Column, special: Column) -> Column:
@@ -32,6 +35,10 @@ def formatted_heading(kind: Column, identifier: Column, special: Column) -> Colu
     )
 
 
+#: Characters of an act's document in one row; longer acts have further parts.
+PART_CHARS = 32_000_000
+
+
 def _pad(s: Column, width: int) -> Column:
     """At least `width` characters; longer ones stay whole."""
     return F.rpad(s, F.greatest(F.lit(width), F.length(s)), F.lit(" "))
@@ -58,8 +65,8 @@ def _hanging(indent: Column, head: Column, body: Column, width: int) -> Column:
     return F.array_join(F.transform(lines, lambda x, i: F.rtrim(F.concat(indent, F.when(i == 0, head).otherwise(F.repeat(F.lit(" "), F.length(head))), x))), "\n")
 
 
-def txt(elements: DataFrame, width: int = 90) -> DataFrame:
-    """act_id, txt: every act as plain text of at most width characters, elements indented by depth, words wrapped."""
+def txt_pieces(elements: DataFrame, width: int = 90) -> DataFrame:
+    """act_id, path, late, piece: what each element contributes to its act's plain text; in order of these columns they are the text."""
     kind, is_heading = F.col("kind"), F.col("kind").isin("Book", "Part", "Title", "Chapter", "Subtitle")
     head = F.when(is_heading, F.lit("")).when(kind == "Article", _pad(F.concat("identifier", F.lit(". §")), 10)).otherwise(_pad(header_prefix(kind, F.col("identifier")), 5))
     heading = formatted_heading(kind, F.col("identifier"), F.col("special"))
@@ -70,12 +77,36 @@ def txt(elements: DataFrame, width: int = 90) -> DataFrame:
     pieces = e.select("act_id", "path", F.coalesce(quoted, _hanging(F.col("_indent"), F.col("_head"), F.col("_body"), width)).alias("piece"), F.lit(0).alias("late"))
     # A wrap-up stands after all that is below its element: its path sorts behind theirs.
     after = e.where("wrap_up IS NOT NULL AND wrap_up <> ''").select("act_id", F.concat("path", F.array(F.lit(2**31 - 1))).alias("path"), _hanging(F.col("_indent"), F.repeat(F.lit(" "), F.length("_head")), F.col("wrap_up"), width).alias("piece"), F.lit(1).alias("late"))
-    return _together(pieces.unionByName(after), "\n").select("act_id", F.col("document").alias("txt"))
+    return pieces.unionByName(after)
+
+
+def txt(elements: DataFrame, width: int = 90, part_chars: int = PART_CHARS) -> DataFrame:
+    """act_id, part, txt: every act as plain text of at most width characters, elements indented by depth, words wrapped."""
+    return _together(txt_pieces(elements, width), "\n", part_chars).select("act_id", "part", F.col("document").alias("txt"))
+
+
+def _together(pieces: DataFrame, between: str, part_chars: int, ends: tuple[Column | str, Column | str] | None = None) -> DataFrame:
+    """act_id, part, document of pieces; ends stand before the first part of an act and behind its last."""
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "late", "piece"))), lambda p: p["piece"]), between)
+    articles = pieces.groupBy("act_id", F.col("path")[0].alias("top")).agg(one.alias("text"))
+    return _parts(articles, between, part_chars, ends)
 
 
-def _together(pieces: DataFrame, between: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("path", "late", "piece")))
-    return pieces.groupBy("act_id").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), between).alias("document"))
+def _parts(articles: DataFrame, between: str, part_chars: int, ends: tuple[Column | str, Column | str] | None = None) -> DataFrame:
+    """act_id, part, document of the texts of articles (act_id, top, text)."""
+    # The articles are read for the sizes and for the texts.
+    written = cut_lineage(articles)
+    sized = running_sum(written.select("act_id", "top", F.length("text").alias("_size")), ["act_id"], "top", F.col("_size"), "_before", inclusive=False)
+    part = sized.select("act_id", "top", F.floor(F.col("_before") / part_chars).cast("int").alias("part"))
+    last = part.groupBy("act_id").agg(F.max("part").alias("_last"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]), between)
+    documents = written.join(part, ["act_id", "top"]).groupBy("act_id", "part").agg(ordered.alias("document"))
+    if ends is None:
+        return documents
+    nothing = F.lit("")
+    before, after = ends
+    with_last = documents.join(last, "act_id")
+    return with_last.select("act_id", "part", F.concat(F.when(F.col("part") == 0, before).otherwise(nothing), "document", F.when(F.col("part") == F.col("_last"), after).otherwise(F.lit(between))).alias("document"))
 
 
 def escape(s: Column) -> Column:
@@ -96,8 +127,8 @@ def with_links(text: Column, links: Column) -> Column:
     return F.when(F.coalesce(F.size(links), F.lit(0)) <= 0, escape(text)).otherwise(F.aggregate(F.array_sort(links), start, step, lambda a: F.concat(a["out"], escape(F.substr(text, a["at"] + 1, F.length(text))))))
 
 
-def html(elements: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """act_id, html: every act as an HTML document. links: act_id, element_id, start_pos, end_pos, href of places in text or intro.
+def html(elements: DataFrame, links: DataFrame | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """act_id, part, html: every act as an HTML document. links: act_id, element_id, start_pos, end_pos, href of places in text or intro.
 
     Elements have their id as anchor, but those in amendments, which belong to another act.
     """
@@ -115,9 +146,8 @@ def html(elements: DataFrame, links: DataFrame | None = None) -> DataFrame:
     piece = F.when(F.col("kind").isin("Book", "Part", "Title", "Chapter", "Subtitle"), heading).when(F.col("kind") == "Article", F.concat(ident, title)).otherwise(F.concat(ident, text))
     pieces = e.select("act_id", "path", piece.alias("piece"), F.lit(0).alias("late"))
     after = e.where("wrap_up IS NOT NULL AND wrap_up <> ''").select("act_id", F.concat("path", F.array(F.lit(2**31 - 1))).alias("path"), F.concat(F.lit('<div class="'), css, F.lit('_text">'), escape(F.col("wrap_up")), F.lit("</div>")).alias("piece"), F.lit(1).alias("late"))
-    body = _together(pieces.unionByName(after), "\n")
-    page = F.concat(F.lit('<!DOCTYPE html>\n<html><head><title>'), escape(F.col("act_id")), F.lit('</title><meta http-equiv="Content-Type" content="text/html; charset=utf-8"></head><body><div class="act_container">\n'), F.col("document"), F.lit("\n</div></body></html>"))
-    return body.select("act_id", page.alias("html"))
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html><head><title>'), escape(F.col("act_id")), F.lit('</title><meta http-equiv="Content-Type" content="text/html; charset=utf-8"></head><body><div class="act_container">\n'))
+    return _together(pieces.unionByName(after), "\n", part_chars, (head, F.lit("\n</div></body></html>"))).select("act_id", "part", F.col("document").alias("html"))
 
 
 _KEPT = ("kind", "identifier", "title", "special", "text", "intro", "wrap_up")
@@ -139,11 +169,11 @@ def _nest(rows: list[dict]) -> list[dict]:
     return [{"act_id": rows[0]["act_id"], "top": rows[0]["top"], "node": json.dumps(top, ensure_ascii=False)}]
 
 
-def nested_json(elements: DataFrame) -> DataFrame:
-    """act_id, json: every act as an array of nested objects with `__type__`; nulls are left out. Top elements are nested by themselves,
-    and only their strings meet to make the act's."""
+def nested_json(elements: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """act_id, part, json: every act as an array of nested objects with `__type__`; nulls are left out. Top elements are nested by
+    themselves, and only their strings meet to make the act's array, or its parts of an array each."""
     rows = elements.select("act_id", F.col("path")[0].alias("top"), "path", "depth", *_KEPT)
     arrow = pa.schema([("act_id", pa.string()), ("top", pa.int32()), ("node", pa.string())])
     tops = map_groups(rows, ["act_id", "top"], ["path"], _nest, "act_id string, top int, node string", arrow)
-    ordered = F.array_sort(F.collect_list(F.struct("top", "node")))
-    return tops.groupBy("act_id").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["node"]), ","), F.lit("]")).alias("json"))
+    documents = _parts(tops.withColumnRenamed("node", "text"), ",", part_chars)
+    return documents.select("act_id", "part", F.concat(F.lit("["), "document", F.lit("]")).alias("json"))

@@ -94,8 +94,8 @@ def test_gazette(spark):
 def test_fixups(spark):
     lines = spark.createDataFrame([("A", i, c) for i, c in enumerate(["x", "y", "x", "z", "w"])] + [("B", 0, "y")], LINE)
     patches = spark.createDataFrame([("A", 1, "replace", "x", "X", ["x", "y"]), ("A", 2, "delete", "z", None, None), ("A", 3, "empty_after", "w", None, None), ("A", 4, "replace", "x", "!", None), ("B", 1, "delete", "q", None, None), ("C", 1, "delete", "q", None, None)], "act_id string, seq int, op string, needle string, replacement string, prev_lines array<string>")
-    assert [(r.act_id, r.content) for r in fixups.apply_fixups(lines, patches).orderBy("act_id", "line_no", "sub_no").collect()] == [("A", "x"), ("A", "y"), ("A", "X"), ("A", "w"), ("A", ""), ("B", "y")]
-    assert sorted(tuple(r) for r in fixups.failed_fixups(lines, patches).collect()) == [("A", 4, 2), ("B", 1, 0), ("C", 1, 0)]
+    assert [(r.act_id, r.content) for r in fixups.apply_fixups(lines, patches).orderBy("act_id", "line_no", "sub_no").collect()] == [("A", "!"), ("A", "y"), ("A", "X"), ("A", "w"), ("A", ""), ("B", "y")]
+    assert sorted(tuple(r) for r in fixups.failed_fixups(lines, patches).collect()) == [("B", 1, 0), ("C", 1, 0)]
     edited = spark.createDataFrame([("A", i, c) for i, c in enumerate(["x", "y", "X!", "", "w"])], LINE)
     made = fixups.make_fixups(lines, edited)
     assert sorted((r.op, r.needle, r.prev_lines) for r in made.collect()) == [("delete", "z", []), ("replace", "x", ["y"])]
@@ -104,6 +104,51 @@ def test_fixups(spark):
     assert [r.content for r in fixups.bracketed_titles(titled).orderBy("line_no").collect()] == ["2. § [A 3. §-hoz]", "Szöveg", "tovább"]
 
 
+PATCH = "act_id string, seq int, op string, needle string, replacement string, prev_lines array<string>"
+
+
+def one_by_one(lines, patches):
+    """The patches of one act, tried on all of its lines."""
+    failed = []
+    for _, seq, op, needle, new, context in sorted(patches, key=lambda x: x[1]):
+        context = context or []
+        at = [i for i, c in enumerate(lines) if c == needle and (not context or (i >= len(context) and lines[i - len(context) : i] == context))]
+        if len(at) != 1:
+            failed.append((seq, len(at)))
+            continue
+        i = at[0]
+        lines = lines[: i + 1] + [""] + lines[i + 1 :] if op == "empty_after" else lines[:i] + lines[i + 1 :] if op == "delete" or not new else lines[:i] + [new] + lines[i + 1 :]
+    return lines, failed
+
+
+def test_patches_in_order(spark):
+    import random
+
+    acts = {
+        "twice": (["a", "b"], [("empty_after", "a", None, None), ("replace", "a", "A", None)]),
+        "chain": (["x", "y", "z"], [("replace", "x", "x1", None), ("replace", "x1", "x2", None), ("replace", "y", "Y", ["x2"]), ("delete", "z", None, ["x2", "Y"])]),
+        "many": (["k"] * 30 + ["l"], [("delete", "k", None, None), ("replace", "l", "L", ["k", "k"]), ("replace", "k", "K", ["L"])]),
+        "nothing": ([], [("delete", "q", None, None)]),
+    }
+    rng = random.Random(6)
+    for n in range(40):
+        lines = [rng.choice(["a", "b", "c", "", "d"]) for _ in range(rng.randint(1, 25))]
+        acts[f"r{n}"] = (lines, [(rng.choice(["replace", "delete", "empty_after"]), rng.choice(["a", "b", "c", "", "X"]), rng.choice(["X", "a", "", None]), [rng.choice(["a", "b", "X", "", "d"]) for _ in range(rng.randint(0, 2))]) for _ in range(rng.randint(1, 5))])
+    lines = spark.createDataFrame([(k, i, c) for k, (ls, _) in acts.items() for i, c in enumerate(ls)], LINE)
+    rows = {k: [(k, i, *x) for i, x in enumerate(ps, 1)] for k, (_, ps) in acts.items()}
+    patches = spark.createDataFrame([r for x in rows.values() for r in x], PATCH)
+    got, failed = {k: [] for k in acts}, {k: [] for k in acts}
+    for r in fixups.apply_fixups(lines, patches).orderBy("act_id", "line_no", "sub_no").collect():
+        got[r.act_id].append(r.content)
+    for r in fixups.failed_fixups(lines, patches).collect():
+        failed[r.act_id].append((r.seq, r.hits))
+    for k, (ls, _) in acts.items():
+        want, bad = one_by_one(ls, rows[k])
+        assert got[k] == want and sorted(failed[k]) == bad, k
+    assert got["chain"] == ["x2", "Y"] and got["twice"] == ["A", "", "b"]
+    assert fixups.apply_fixups(lines, patches.limit(0)).count() == lines.count() and fixups.failed_fixups(lines.limit(0), patches).count() == patches.count()
+
+
 ACT = """Bevezető
 
 1. §   (1) A kútra a Vgt. (a szabály) 2. § (1) bekezdése szerint:
