@@ -26,8 +26,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("act", act).withColumn("letter", F.substring(F.lit("abcdefghijklm"), n(7, 13), F.lit(1)))
 
 
-def _found(spark: SparkSession, sf_dir: str, sentence: Column, where: str = "true") -> DataFrame:
-    o = _orders(spark, sf_dir).where(where)
+def _found(spark: SparkSession, sf_dir: str, sentence: Column) -> DataFrame:
+    o = _orders(spark, sf_dir)
     return S.analyze_sentences(o.withColumn("sentence", sentence), K, "sentence")
 
 
@@ -72,27 +72,18 @@ def block_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("o_orderkey", "act", "article_first", "paragraph_first", "paragraph_last", "special_position", "special_article", "pure_insertion")
 
 
-def _heading_amendments(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def heading_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, chapters and subtitles replaced, and titles inserted into a book."""
     sentence = (
         F.when(F.col("kind") == 0, F.concat(F.lit("A Vgt. "), roman(F.col("article")), F.lit(". Fejezete helyébe a következő fejezet lép:")))
         .when(F.col("kind") == 1, F.concat(_s("A {act} Harmadik Könyve a következő "), roman(F.col("article")), F.lit(". Címmel egészül ki:")))
         .when(F.col("kind") == 2, F.concat(F.lit("A Vgt. Hatodik Könyv "), roman(F.col("article")), F.lit(". Címe helyébe a következő cím lép:")))
         .otherwise(_s("A Vgt. {article}. alcíme helyébe a következő rendelkezés lép:"))
     )
-    r = S.records(_found(spark, sf_dir, sentence, where), K, "BlockAmendment")
+    r = S.records(_found(spark, sf_dir, sentence), K, "BlockAmendment")
     return r.select("o_orderkey", "act", "book", "title", "chapter", "subtitle")
 
 
-def heading_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, chapters and subtitles replaced, in the orders that its SQL has: without titles inserted into a book."""
-    return _heading_amendments(spark, sf_dir, "kind <> 1")
-
-
-def all_heading_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, chapters and subtitles replaced, and titles inserted into a book, of all orders."""
-    return _heading_amendments(spark, sf_dir)
-
-
 def text_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wordings replaced in several places: every place with every pair."""
     sentence = _s("A {act} {article}. § ({paragraph}) bekezdésében és 3:{article}. § {letter}) pontjában az „a {paragraph} „régi” szó” szövegrész helyébe az „új {letter}” szöveg, a „másik” szövegrészek helyébe a „harmadik” szöveg lép.")
@@ -140,7 +131,7 @@ def ref_relative_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("resolved.article.first").alias("article"), F.col("resolved.paragraph.first").alias("paragraph"), F.col("resolved.point.first").alias("point"), refs.id_string(F.col("resolved")).alias("id_string"))
 
 
-QUERIES = {f.__name__: f for f in (enforcement_dates, element_references, abbreviations, block_amendments, heading_amendments, all_heading_amendments, text_amendments, title_amendments, repeals, act_references, subpoint_citations, abbrev_asof, ref_relative_chain)}
+QUERIES = {f.__name__: f for f in (enforcement_dates, element_references, abbreviations, block_amendments, heading_amendments, text_amendments, title_amendments, repeals, act_references, subpoint_citations, abbrev_asof, ref_relative_chain)}
 
 _ROMAN = lambda n: "(repeat('C', ({n}) // 100 % 10) || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][({n}) // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][({n}) % 10 + 1])".replace("{n}", n)
 _O = f"""o AS (SELECT o_orderkey, o_orderkey % 4 AS kind, o_orderdate::DATE AS d, (o_orderkey % 200 + 1)::VARCHAR AS article, (o_orderkey // 3 % 12 + 1)::VARCHAR AS paragraph,
@@ -159,8 +150,7 @@ SQL = {
     "abbreviations": f"WITH {_O} SELECT o_orderkey, CASE kind WHEN 0 THEN 'Vgt.' ELSE 'Víziközmű tv.' END AS abbreviation, act FROM o WHERE kind < 2",
     "block_amendments": f"""WITH {_O} SELECT o_orderkey, CASE WHEN kind < 2 THEN act ELSE 'Vgt.' END AS act, CASE WHEN kind < 3 THEN article END AS article_first, CASE kind WHEN 0 THEN paragraph WHEN 1 THEN paragraph || 'a' WHEN 2 THEN '1' END AS paragraph_first,
       CASE kind WHEN 0 THEN paragraph WHEN 1 THEN paragraph || 'a' WHEN 2 THEN '3' END AS paragraph_last, CASE WHEN kind = 3 THEN 'BEFORE_WITH_ARTICLE' END AS special_position, CASE WHEN kind = 3 THEN article || '/A' END AS special_article, kind IN (1, 3) AS pure_insertion FROM o""",
-    "heading_amendments": f"WITH {_O} SELECT o_orderkey, 'Vgt.' AS act, CASE WHEN kind = 2 THEN '6' END AS book, CASE WHEN kind = 2 THEN article END AS title, CASE WHEN kind = 0 THEN article END AS chapter, CASE WHEN kind = 3 THEN article END AS subtitle FROM o WHERE kind <> 1",
-    "all_heading_amendments": f"WITH {_O} SELECT o_orderkey, CASE WHEN kind = 1 THEN act ELSE 'Vgt.' END AS act, CASE kind WHEN 1 THEN '3' WHEN 2 THEN '6' END AS book, CASE WHEN kind IN (1, 2) THEN article END AS title, CASE WHEN kind = 0 THEN article END AS chapter, CASE WHEN kind = 3 THEN article END AS subtitle FROM o",
+    "heading_amendments": f"WITH {_O} SELECT o_orderkey, CASE WHEN kind = 1 THEN act ELSE 'Vgt.' END AS act, CASE kind WHEN 1 THEN '3' WHEN 2 THEN '6' END AS book, CASE WHEN kind IN (1, 2) THEN article END AS title, CASE WHEN kind = 0 THEN article END AS chapter, CASE WHEN kind = 3 THEN article END AS subtitle FROM o",
     "text_amendments": f"""WITH {_O}, r AS (SELECT o_orderkey, act, letter, paragraph AS p, article AS article_first, paragraph AS paragraph_first, NULL AS point_first FROM o UNION ALL SELECT o_orderkey, act, letter, paragraph, '3:' || article, NULL, letter FROM o)
       SELECT o_orderkey, act, article_first, paragraph_first, point_first, 'a ' || p || ' „régi” szó' AS original_text, 'új ' || letter AS replacement_text FROM r UNION ALL SELECT o_orderkey, act, article_first, paragraph_first, point_first, 'másik', 'harmadik' FROM r""",
     "title_amendments": f"WITH {_O} SELECT o_orderkey, act, article AS article_first, 'régi ' || letter AS original_text, 'új ' || letter AS replacement_text FROM o",

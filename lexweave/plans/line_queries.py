@@ -122,6 +122,18 @@ def fixup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy(F.col("act_id").alias("doc_id"), F.coalesce(F.size("prev_lines"), F.lit(-1)).cast("bigint").alias("context")).agg(F.count("*").alias("n"))
 
 
+def fixup_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four patches of every document, each of which needs what the one before it made; the lines after them, and how many failed."""
+    lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("act_id"), "line_no", "content")
+    first = F.col("content")
+    patch = lambda seq, op, needle, new, *before: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), needle.alias("needle"), F.lit(new).alias("replacement"), F.array(*map(F.lit, before)).cast("array<string>").alias("prev_lines"))
+    steps = F.array(patch(1, "replace", first, "EGY"), patch(2, "replace", F.lit("EGY"), "KETTŐ"), patch(3, "empty_after", F.lit("KETTŐ"), None), patch(4, "replace", F.lit(""), "HÁROM", "KETTŐ"))
+    patches = lines.where("line_no = 0").select("act_id", F.inline(steps))
+    out = fixups.apply_fixups(lines, patches).groupBy("act_id").agg(F.count("*").alias("n_lines"), F.max_by("content", -(F.col("line_no").cast("bigint") * 10 + F.col("sub_no"))).alias("first_line"), F.sum((F.col("content") == "HÁROM").cast("bigint")).alias("added"))
+    failed = fixups.failed_fixups(lines, patches).groupBy("act_id").agg(F.count("*").alias("failed"))
+    return out.join(failed, "act_id", "left").select(F.col("act_id").alias("doc_id"), "n_lines", "first_line", "added", F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
 def issue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every year's issues (order days stand for them), those before the first that is missing."""
     from lexweave.sources.lines import until_missing
@@ -138,7 +150,7 @@ def html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_stack(docs, "doc_id", "text").select(F.col("page_id").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), F.array_join("stack", "/").alias("path"), "text")
 
 
-QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, fixup_apply, fixup_missing, fixup_context, issue_scan, html_paths)}
+QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, fixup_apply, fixup_missing, fixup_sequence, fixup_context, issue_scan, html_paths)}
 _CHANGES = "length(content) - length(replace(replace(content, '„', ''), '“', '')) - (length(content) - length(replace(content, '”', '')))"
 SQL = {
     "doc_lines": f"WITH {LINES_SQL} SELECT * FROM lines",
@@ -167,6 +179,12 @@ SQL = {
       n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
       SELECT * FROM (SELECT doc_id, (n + CASE WHEN hits = 1 AND doc_id % 3 = 1 THEN -1 WHEN hits = 1 AND doc_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS n_lines, (hits = 1 AND doc_id % 3 = 0)::BIGINT AS replaced, (hits = 1 AND doc_id % 3 = 2)::BIGINT AS added FROM n JOIN h USING (doc_id)) WHERE n_lines > 0""",
     "fixup_missing": f"WITH {LINES_SQL}, f AS (SELECT doc_id, content AS needle FROM lines WHERE line_no = 0) SELECT l.doc_id, count(*)::BIGINT AS hits FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.content = f.needle GROUP BY l.doc_id HAVING count(*) <> 1",
+    "fixup_sequence": f"""WITH {LINES_SQL}, f AS (SELECT doc_id, content AS c0 FROM lines WHERE line_no = 0), h AS (SELECT l.doc_id, f.c0, count(*) AS n_lines, count(*) FILTER (l.content = f.c0) AS hits FROM lines l JOIN f USING (doc_id) GROUP BY 1, 2)
+      SELECT doc_id, (n_lines + (hits = 1)::INT)::BIGINT AS n_lines, CASE WHEN hits = 1 THEN 'KETTŐ' ELSE c0 END AS first_line, (hits = 1)::BIGINT AS added, CASE WHEN hits = 1 THEN 0 ELSE 4 END::BIGINT AS failed FROM h""",
+    "fixup_context": f"""WITH {LINES_SQL}, ch AS (SELECT doc_id, line_no, content FROM lines WHERE line_no % 5 = 4), x AS (SELECT doc_id, line_no, content, array_agg(content) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS a FROM lines),
+      v AS (SELECT * FROM x SEMI JOIN ch USING (doc_id, content)), e AS (SELECT doc_id, line_no, content, k, CASE WHEN k = 0 THEN []::VARCHAR[] ELSE a[len(a) - k + 1:] END AS c FROM (SELECT *, unnest(range(0, coalesce(len(a), 0) + 1)) AS k FROM v)),
+      u AS (SELECT doc_id, content, c, min(k) AS k, min(line_no) AS line_no FROM e GROUP BY doc_id, content, c HAVING count(*) = 1), m AS (SELECT doc_id, line_no, min(k) AS k FROM u GROUP BY 1, 2)
+      SELECT doc_id, coalesce(k, -1)::BIGINT AS context, count(*)::BIGINT AS n FROM ch LEFT JOIN m USING (doc_id, line_no) GROUP BY 1, 2""",
     "issue_scan": """WITH o AS (SELECT DISTINCT year(o_orderdate)::BIGINT AS year, (o_custkey % 400 + 1)::BIGINT AS issue FROM orders), k AS (SELECT * FROM o WHERE (issue + year) % 97 <> 0),
       m AS (SELECT year, issue, row_number() OVER (PARTITION BY year ORDER BY issue) AS n FROM k) SELECT year, issue FROM m WHERE issue = n""",
 }

@@ -33,4 +33,17 @@ def p2_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_point_subpoints, p2_kind_counts)}
-SQL: dict[str, str] = {}
+#: The objects of a level, which may be an array, one object, or a string of either.
+_PLAIN = lambda level: f"CASE WHEN json_type({level}) = 'VARCHAR' THEN TRY_CAST({level} ->> '$' AS JSON) ELSE {level} END"
+_OBJECTS = "list_filter(CASE json_type(level) WHEN 'ARRAY' THEN level::JSON[] WHEN 'OBJECT' THEN [level] ELSE []::JSON[] END, lambda o: json_type(o) = 'OBJECT')"
+_STEP = f"SELECT record_id, path || '.' || i AS node_path, path AS parent_path, items[i] AS obj FROM (SELECT record_id, path, {_OBJECTS} AS items FROM {{levels}}), unnest(range(1, len(items) + 1)) AS u(i)"
+_WALK = f"""WITH RECURSIVE r AS (SELECT record_id, CASE WHEN json_valid(children) THEN children::JSON END AS c FROM ambigous_points), w(record_id, node_path, parent_path, obj) AS (
+    {_STEP.format(levels=f"(SELECT record_id, 'r' AS path, {_PLAIN('c')} AS level FROM r)")}
+    UNION ALL {_STEP.format(levels=f"(SELECT record_id, path, {_PLAIN('c')} AS level FROM (SELECT record_id, node_path AS path, json_extract(obj, '$.children') AS c FROM w))")}),
+  n AS (SELECT record_id, node_path, parent_path, coalesce(obj ->> '$.__type__', 'Paragraph') AS kind, coalesce(obj ->> '$.identifier', '') AS identifier FROM w)"""
+SQL = {
+    "p2_found": f"{_WALK} SELECT * FROM n",
+    "p2_kind_counts": f"{_WALK} SELECT kind, count(*) AS n, max(len(string_split(node_path, '.')) - 1)::BIGINT AS deepest FROM n GROUP BY kind",
+    "p2_point_subpoints": f"""{_WALK} SELECT c.record_id, c.parent_path, p.kind AS parent_kind, p.identifier AS parent_identifier, c.node_path, c.kind, c.identifier
+      FROM n c JOIN n p ON p.record_id = c.record_id AND p.node_path = c.parent_path WHERE p.kind = 'AlphabeticPoint' AND c.kind = 'AlphabeticSubpoint'""",
+}

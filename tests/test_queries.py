@@ -31,7 +31,7 @@ def test_equals_sql(spark, duck, name):
 
 def test_heading_amendments_of_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    got = entry.queries()["all_heading_amendments"](spark, SF)
+    got = entry.queries()["heading_amendments"](spark, SF)
     assert got.count() == orders.count() and got.where("book = '3' AND title IS NOT NULL").count() == orders.where("o_orderkey % 4 = 1").count() > 0
 
 
