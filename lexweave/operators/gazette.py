@@ -61,7 +61,6 @@ def _cut_acts(rows: list[dict]) -> Iterator[dict]:
             i += 1
         i += 1
         if i >= n or not _HEADER.match(content[i]):
-            i += 1
             continue
         act, subject, i = content[i], [], i + 1
         while i < n and not (subject and subject[-1].endswith("*")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import join_lines
@@ -96,6 +96,28 @@ def act_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("act_id", "subject").agg(F.count("*").alias("n_lines"), F.max_by("content", "line_no").alias("last_line"), F.min("complete").alias("complete"))
 
 
+def _gazettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acts as gazettes: an issue a year, its first page with title and date, then a page for each act with the page's two header lines."""
+    acts = read(spark, sf_dir, "raw_acts").where("act_id RLIKE '^[12][09][0-9][0-9]. évi [IVXLC]+. törvény$'").withColumn("issue_id", F.substring("act_id", 1, 4))
+    years = acts.select("issue_id").distinct()
+    title = F.array(*map(F.lit, (gazette.TITLE_WORDS, "1. szám", "")), F.concat("issue_id", F.lit(". március 15., péntek")), F.lit(""), F.lit(gazette.SECTIONS[0]))
+    body = F.array(F.lit("12"), F.lit("fejléc"), F.lit(gazette.LAWS), F.lit("fejléc"), F.lit(""), F.col("act_id"), F.concat(F.coalesce("subject", F.lit("tárgy nélkül")), F.lit("*")), F.lit("1. §   Egy."), F.lit("2. §   A Vgt. 3. §-a szerint jár el."), F.lit(""), F.lit("* Elfogadva."), F.lit(""), F.lit("3. §   Három."), F.lit(""), F.lit("A, B"), F.lit("köztársasági elnök az Országgyűlés elnöke"))
+    numbered = acts.withColumn("page_no", F.row_number().over(Window.partitionBy("issue_id").orderBy("act_id")) + 1)
+    pages = numbered.select("issue_id", "page_no", F.posexplode(body).alias("line_no", "content"))
+    return years.select("issue_id", F.lit(1).alias("page_no"), F.posexplode(title).alias("line_no", "content")).unionByName(pages)
+
+
+def gazette_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the lines of gazettes to acts: cut out, parsed, analysed and written as text."""
+    from lexweave.plans import pipeline
+    from lexweave.sinks import render
+
+    made = pipeline.run(_gazettes(spark, sf_dir))
+    header = made.acts.select("act_id", F.col("publication_date").cast("string").alias("publication_date"), "subject").distinct()
+    cited = made.semantics.citations.groupBy("act_id").agg(F.count("*").alias("citations"))
+    return header.join(render.txt(made.elements), "act_id").join(cited, "act_id").select("act_id", "publication_date", "subject", "citations", "txt")
+
+
 def _patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = _lines(spark, sf_dir).select(F.col("doc_id").alias("act_id"), "line_no", "content")
     kind = F.element_at(F.array(F.lit("replace"), F.lit("delete"), F.lit("empty_after")), (F.pmod("act_id", F.lit(3)) + 1).cast("int"))
@@ -150,7 +172,7 @@ def html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_stack(docs, "doc_id", "text").select(F.col("page_id").alias("doc_id"), F.col("pos").cast("bigint").alias("pos"), F.array_join("stack", "/").alias("path"), "text")
 
 
-QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, fixup_apply, fixup_missing, fixup_sequence, fixup_context, issue_scan, html_paths)}
+QUERIES = {f.__name__: f for f in (doc_lines, line_join, quote_levels, quote_balance, prev_line_headers, html_tokens, issue_files, glyphs_to_lines, section_carry, act_segments, gazette_acts, fixup_apply, fixup_missing, fixup_sequence, fixup_context, issue_scan, html_paths)}
 _CHANGES = "length(content) - length(replace(replace(content, '„', ''), '“', '')) - (length(content) - length(replace(content, '”', '')))"
 SQL = {
     "doc_lines": f"WITH {LINES_SQL} SELECT * FROM lines",
@@ -175,6 +197,8 @@ SQL = {
       c AS (SELECT *, CASE WHEN section = lag(section) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) THEN 0 ELSE 1 END AS d FROM s),
       n AS (SELECT *, sum(d) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS section_no FROM c) SELECT o_custkey, o_orderkey, section_no, section FROM n WHERE section IS NOT NULL""",
     "act_segments": "SELECT act_id, coalesce(subject, 'tárgy nélkül') AS subject, 4::BIGINT AS n_lines, '3. § Három.' AS last_line, true AS complete FROM raw_acts WHERE regexp_matches(act_id, '^[12][09][0-9][0-9]. évi [IVXLC]+. törvény')",
+    "gazette_acts": """SELECT act_id, substring(act_id, 1, 4) || '-03-15' AS publication_date, coalesce(subject, 'tárgy nélkül') AS subject, 2::BIGINT AS citations,
+      array_to_string(['1. §', '          Egy.', '2. §', '          A Vgt. 3. §-a szerint jár el.', '3. §', '          Három.'], chr(10)) AS txt FROM raw_acts WHERE regexp_matches(act_id, '^[12][09][0-9][0-9]. évi [IVXLC]+. törvény$')""",
     "fixup_apply": f"""WITH {LINES_SQL}, f AS (SELECT doc_id, content AS needle FROM lines WHERE line_no = 0), h AS (SELECT l.doc_id, count(*) AS hits FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.content = f.needle GROUP BY l.doc_id),
       n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
       SELECT * FROM (SELECT doc_id, (n + CASE WHEN hits = 1 AND doc_id % 3 = 1 THEN -1 WHEN hits = 1 AND doc_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS n_lines, (hits = 1 AND doc_id % 3 = 0)::BIGINT AS replaced, (hits = 1 AND doc_id % 3 = 2)::BIGINT AS added FROM n JOIN h USING (doc_id)) WHERE n_lines > 0""",

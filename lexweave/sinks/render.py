@@ -8,6 +8,7 @@ numbered by `part`, so nothing grows with an act. `pieces` are the fragments the
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from lexweave.functions.numerals import arabic_to_roman, ordinal_word
 from lexweave.kernels.structure import SPECIAL_PARTS
 from lexweave.operators.groups import map_groups
 from lexweave.operators.scans import running_sum
+from lexweave.operators.semantics import Semantics
 from lexweave.session import cut_lineage
 
 
@@ -158,7 +160,7 @@ def _nest(rows: list[dict]) -> list[dict]:
     open_nodes: list[tuple[int, dict]] = []
     top: dict | None = None
     for r in rows:
-        node = {"__type__": r["kind"]} | {c: r[c] for c in _KEPT[1:] if r[c] is not None}
+        node = {"__type__": r["kind"]} | {c: r[c] for c in _KEPT[1:] if r[c] is not None} | (json.loads(r["more"]) if r["more"] else {})
         while open_nodes and open_nodes[-1][0] >= r["depth"]:
             open_nodes.pop()
         if open_nodes:
@@ -169,11 +171,56 @@ def _nest(rows: list[dict]) -> list[dict]:
     return [{"act_id": rows[0]["act_id"], "top": rows[0]["top"], "node": json.dumps(top, ensure_ascii=False)}]
 
 
-def nested_json(elements: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """act_id, part, json: every act as an array of nested objects with `__type__`; nulls are left out. Top elements are nested by
-    themselves, and only their strings meet to make the act's array, or its parts of an array each."""
-    rows = elements.select("act_id", F.col("path")[0].alias("top"), "path", "depth", *_KEPT)
+#: What the semantic pass finds, by the key it has in an element's JSON.
+SEMANTIC_KEYS = ("outgoing_references", "act_id_abbreviations", "semantic_data")
+
+
+def _semantic_columns(semantics: Semantics) -> DataFrame:
+    """act_id, element_id, more: the citations, abbreviations and records of each element as one JSON object."""
+    tables = dict(zip(SEMANTIC_KEYS, (semantics.citations, semantics.abbreviations, semantics.records), strict=True))
+    keyed = None
+    for name, df in tables.items():
+        own = F.struct(*(c for c in df.columns if c not in ("act_id", "element_id", "path")))
+        rows = df.select("act_id", "element_id", *((F.when(F.lit(n == name), F.struct("seq", F.to_json(own).alias("j")))).alias(n) for n in SEMANTIC_KEYS))
+        keyed = rows if keyed is None else keyed.unionByName(rows)
+    listed = lambda n: F.concat(F.lit(f'"{n}":['), F.array_join(F.transform(F.array_sort(F.collect_list(n)), lambda x: x["j"]), ","), F.lit("]"))
+    by = keyed.groupBy("act_id", "element_id").agg(*(F.when(F.count(n) > 0, listed(n)).alias(n) for n in SEMANTIC_KEYS))
+    return by.select("act_id", "element_id", F.concat(F.lit("{"), F.concat_ws(",", *SEMANTIC_KEYS), F.lit("}")).alias("more"))
+
+
+def nested_json(elements: DataFrame, part_chars: int = PART_CHARS, semantics: Semantics | None = None) -> DataFrame:
+    """act_id, part, json: every act as an array of nested objects with `__type__`; nulls are left out. Elements have what the semantic
+    pass found in them under SEMANTIC_KEYS. Top elements are nested by themselves, and only their strings meet to make the act's array, or
+    its parts of an array each."""
+    rows = elements.select("act_id", "element_id", F.col("path")[0].alias("top"), "path", "depth", *_KEPT)
+    if semantics is None:
+        rows = rows.withColumn("more", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(_semantic_columns(semantics), ["act_id", "element_id"], "left")
     arrow = pa.schema([("act_id", pa.string()), ("top", pa.int32()), ("node", pa.string())])
     tops = map_groups(rows, ["act_id", "top"], ["path"], _nest, "act_id string, top int, node string", arrow)
     documents = _parts(tops.withColumnRenamed("node", "text"), ",", part_chars)
     return documents.select("act_id", "part", F.concat(F.lit("["), "document", F.lit("]")).alias("json"))
+
+
+def read_semantics(documents: DataFrame) -> DataFrame:
+    """act_id, part, node_path, kind, identifier, what, data of documents of nested_json(): what the semantic pass found, read back; data
+    is a JSON object, node_path as in nested records. Documents that can't be read have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for act, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    stack = [(f"r.{i}", o) for i, o in enumerate(json.loads(text or "[]"), 1)]
+                except ValueError:
+                    stack = []
+                while stack:
+                    path, o = stack.pop()
+                    rows += [(act, part, path, o["__type__"], o.get("identifier"), key, json.dumps(x, ensure_ascii=False)) for key in SEMANTIC_KEYS for x in o.get(key, ())]
+                    stack += [(f"{path}.{i}", c) for i, c in enumerate(o.get("children", ()), 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.string(), pa.int32(), *[pa.string()] * 5]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["act_id", "part", "node_path", "kind", "identifier", "what", "data"])
+
+    return documents.select("act_id", "part", "json").mapInArrow(run, "act_id string, part int, node_path string, kind string, identifier string, what string, data string")

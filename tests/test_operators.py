@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -290,3 +292,84 @@ def test_at_reference(spark):
         F.struct(F.lit("r").alias("ref_id"), refs.ref(F.lit("A"), article=lv(F.lit("9"))).alias("reference")),
     )).alias("x")).select("x.*")
     assert sorted(tuple(x) for x in E.at_reference(e, r).collect()) == [("p", "A", "1_0_b_"), ("q", "A", "2_1a__"), ("q", "A", "2_2__")]
+
+
+GAZETTE = {
+    1: ["MAGYAR KÖZLÖNY", "1. szám", "", "2013. március 15., péntek", "", "Tartalomjegyzék", "valami"],
+    2: ["12", "fejléc", "II. Törvények", "", "2013. évi I. törvény", "Egy tárgyról*", "1. §   A vízről szóló 2010. évi X. törvény (a továbbiakban: Vgt.) irányadó.", "2. §   (1) A Vgt. 3. §-a szerint:", "       a) ez,", "       b) az.", "3. §   A Vgt. 4. §-a helyébe a következő rendelkezés lép:", "       „4. § Új.”", "", "A, B", "köztársasági elnök az Országgyűlés elnöke"],
+    3: ["13", "fejléc", "", "2013. évi II. törvény", "Más*", "1. §   Ez a törvény 2014. január 1-jén lép hatályba.", "", "A, B", "köztársasági elnök az Országgyűlés alelnöke"],
+}
+
+
+def _gazette(spark):
+    return spark.createDataFrame([("i1", p, n, c) for p, lines in GAZETTE.items() for n, c in enumerate(lines)], "issue_id string, page_no int, line_no int, content string")
+
+
+def test_pipeline_by_steps(spark, tmp_path):
+    from lexweave.plans import pipeline
+    from lexweave.sinks.render import read_semantics
+
+    lines = _gazette(spark)
+    raw = pipeline.run(lines, "raw_act")
+    assert {(r.act_id, str(r.publication_date), r.subject, r.complete) for r in raw.acts.collect()} == {("2013. évi I. törvény", "2013-03-15", "Egy tárgyról", True), ("2013. évi II. törvény", "2013-03-15", "Más", True)} and raw.elements is None
+    kinds = lambda r: sorted(x.kind for x in r.elements.collect())
+    assert "QuotedBlock" in kinds(pipeline.run(lines, "structure_only")) and "BlockAmendmentContainer" in kinds(pipeline.run(lines, "ba_only"))
+    issue_of = spark.createDataFrame([("2013. évi I. törvény", "i1"), ("x", "i2")], "act_id string, issue_id string")
+    one = pipeline.run(lines, single_act="2013. évi I. törvény", issue_of=issue_of, modifiers=[lambda e: e.where("kind <> 'Preamble'")])
+    assert {r.act_id for r in one.elements.collect()} == {"2013. évi I. törvény"}
+    assert pipeline.run(lines, "structure_only", single_act="nincs").elements.count() == 0
+    try:
+        pipeline.run(lines, "más")
+        raise AssertionError
+    except ValueError:
+        pass
+    pipeline.write(one.elements, "json", str(tmp_path / "json"), one.semantics, acts_per_file=False)
+    found = read_semantics(spark.read.parquet(str(tmp_path / "json")))
+    what = {}
+    for r in found.collect():
+        what.setdefault((r.node_path, r.what), []).append(json.loads(r.data))
+    assert [x["abbreviation"] for x in what["r.1.1", "act_id_abbreviations"]] == ["Vgt."]
+    # The short name is resolved to the act it was given to.
+    assert all(x["act"] == "2010. évi X. törvény" for x in what["r.2.1", "outgoing_references"]) and what["r.3.1", "semantic_data"][0]["what"] == "BlockAmendment"
+    pipeline.write(one.elements, "txt", str(tmp_path / "txt"))
+    assert [r.act_id for r in spark.read.text(str(tmp_path / "txt")).select("act_id").distinct().collect()] == ["2013. évi I. törvény"]
+
+
+def test_context_of_any_depth_and_circles(spark):
+    rows = [("A", str(i), str(i - 1) if i else None, f"i{i}", None) for i in range(12)] + [("A", "leaf", "11", None, "t"), ("A", "x", "y", "ix", None), ("A", "y", "x", "iy", None), ("B", "leaf", "11", None, "t")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "act_id string, element_id string, parent_id string, intro string, text string, wrap_up string")
+    got = {(r.act_id, r.element_id): r.sentence for r in E.with_context(df).collect()}
+    assert len(got) == len(rows) and got["A", "leaf"] == " ".join(f"i{i}" for i in range(12)) + " t." and got["B", "leaf"] == "t." and got["A", "x"] == "iy ix."
+    assert E.with_context(df.limit(0)).count() == 0
+
+
+def test_documents_in_parts(spark):
+    df = spark.createDataFrame([("A", "x")], "act_id string, text string")
+    e = E.parse_acts(text_lines(df.select("act_id", F.lit("\n".join(f"{i}. §   (1) Szöveg {i}." for i in range(1, 41))).alias("text")), "act_id", "text").withColumnRenamed("doc_id", "act_id"))
+    whole = render.txt(e).collect()
+    parts = sorted(render.txt(e, part_chars=200).collect(), key=lambda r: r.part)
+    assert len(whole) == 1 and len(parts) > 3 and "\n".join(p.txt for p in parts) == whole[0].txt and max(len(p.txt) for p in parts) < 300
+    pages = sorted(render.html(e, part_chars=400).collect(), key=lambda r: r.part)
+    assert "".join(p.html for p in pages) == render.html(e).first().html and pages[0].html.startswith("<!DOCTYPE") and pages[-1].html.endswith("</html>")
+    assert sum((json.loads(r.json) for r in sorted(render.nested_json(e, 300).collect(), key=lambda r: r.part)), []) == json.loads(render.nested_json(e).first().json)
+
+
+def test_subtree_by_prefixes(spark):
+    e = _elements(spark)
+    roots = e.where("element_id = '1_1__'").select("act_id", F.col("element_id").alias("root_id"), F.col("path").alias("root_path"))
+    got = {(r.act_id, r.element_id) for r in E.subtree(e, roots).collect()}
+    want = {(r.act_id, r.element_id) for r in e.collect() for x in roots.collect() if x.act_id == r.act_id and r.path[: len(x.root_path)] == x.root_path}
+    assert got == want and got
+
+
+def test_folder_of_intermediate_tables(spark):
+    from types import SimpleNamespace
+
+    from lexweave.session import shared_checkpoint_dir
+
+    cluster = SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None), getCheckpointDir=lambda: None)
+    try:
+        shared_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=cluster))
+        raise AssertionError
+    except ValueError:
+        pass
