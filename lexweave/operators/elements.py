@@ -201,6 +201,49 @@ def map_elements(elements: DataFrame, change: Callable[[DataFrame], dict[str, Co
     return elements.withColumns({c: F.when(picked, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
+def map_trees(elements: DataFrame, change: Callable[[dict], dict | list[dict] | None], children_first: bool = False) -> DataFrame:
+    """Rewrites the trees of articles and headings: elements may be changed, dropped, added and put in another order.
+
+    change gets an element as a dict of its columns, with its children (dicts alike) under `children`, and gives it changed, a list to
+    stand in its place, or nothing to drop it and all below. It sees an element before those below it, or after them with children_first.
+    What stands below is numbered anew: ord, depth, path and parent_id follow from the tree; element_id is kept, and must be given to
+    added ones. Top elements keep their number; of several in the place of one, the further ones get it too. Trees are mapped one by one.
+    """
+
+    def walk(node: dict) -> list[dict]:
+        if children_first:
+            node = node | {"children": [x for c in node["children"] for x in walk(c)]}
+        got = change(node)
+        found = got if isinstance(got, list) else [] if got is None else [got]
+        if children_first:
+            return found
+        return [x | {"children": [y for c in x.get("children", ()) for y in walk(c)]} for x in found]
+
+    def number(node: dict, above: dict | None, place: int) -> Iterator[dict]:
+        placed = {"path": [*above["path"], place], "ord": place, "depth": above["depth"] + 1, "parent_id": above["element_id"]} if above else {}
+        row = {n: node.get(n) for n in _ARROW.names} | placed
+        if above:
+            row |= {"act_id": above["act_id"], "element_no": above["element_no"]}
+        yield row
+        for i, c in enumerate(node.get("children", ()), 1):
+            yield from number(c, row, i)
+
+    def tree(rows: list[dict]) -> Iterator[dict]:
+        tops: list[dict] = []
+        by_path: dict[tuple, dict] = {}
+        for r in sorted(rows, key=lambda r: r["path"]):
+            node = r | {"children": []}
+            by_path[tuple(r["path"])] = node
+            above = by_path.get(tuple(r["path"][:-1]))
+            (above["children"] if above else tops).append(node)
+        for top in tops:
+            for x in walk(top):
+                yield from number(x, None, 0)
+
+    plain = elements.select(*_ARROW.names).withColumn("_top", F.col("path")[0])
+    return map_groups(plain, ["act_id", "_top"], ["path"], tree, ELEMENTS_SCHEMA, _ARROW)
+
+
 def subtree(elements: DataFrame, roots: DataFrame) -> DataFrame:
     """Elements that are, or stand below, one of the roots (act_id, root_id, root_path): their paths begin with the root's.
 

@@ -6,10 +6,10 @@ that hold some patch's needle can change, so the patches are tried on these and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators.groups import map_groups
@@ -139,3 +139,37 @@ def make_fixups(before: DataFrame, after: DataFrame) -> DataFrame:
     least = unique.where("n = 1").groupBy("act_id", "line_no").agg(F.min_by("prev_lines", F.size("prev_lines")).alias("prev_lines"))
     seq = changed.withColumn("seq", -F.col("line_no"))
     return seq.join(least, ["act_id", "line_no"], "left").select("act_id", "seq", F.when(F.col("edited") == "", F.lit("delete")).otherwise(F.lit("replace")).alias("op"), F.col("content").alias("needle"), F.col("edited").alias("replacement"), "prev_lines")
+
+
+class Registry:
+    """Patches and functions by act, in the order they were added: registry.add(act_id, op, needle, …) or registry.call(act_id, function).
+
+    A function takes the act's lines (act_id, line_no, content) as a table and gives them changed, with line_no in their new order.
+    """
+
+    def __init__(self) -> None:
+        self.steps: dict[str, list[tuple | Callable[[DataFrame], DataFrame]]] = {}
+
+    def add(self, act_id: str, op: str, needle: str, replacement: str | None = None, prev_lines: list[str] | None = None) -> None:
+        self.steps.setdefault(act_id, []).append((op, needle, replacement, prev_lines))
+
+    def call(self, act_id: str, function: Callable[[DataFrame], DataFrame]) -> None:
+        self.steps.setdefault(act_id, []).append(function)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The patches as a table, numbered within their act; functions have none."""
+        rows = [(act, n, *x) for act, steps in self.steps.items() for n, x in enumerate(steps, 1) if isinstance(x, tuple)]
+        return spark.createDataFrame(rows, "act_id string, seq int, op string, needle string, replacement string, prev_lines array<string>")
+
+    def apply(self, lines: DataFrame) -> DataFrame:
+        """act_id, line_no, content of all acts: all patches first, then each act's functions in turn; line_no is of the table given."""
+        patched = apply_fixups(lines.select("act_id", "line_no", "content"), self.table(lines.sparkSession))
+        numbered = patched.select("act_id", (F.col("line_no").cast("bigint") * 4_096 + F.col("sub_no")).alias("line_no"), "content")
+        for act, steps in self.steps.items():
+            functions = [x for x in steps if not isinstance(x, tuple)]
+            if functions:
+                own, others = numbered.where(F.col("act_id") == act), numbered.where(~F.col("act_id").eqNullSafe(F.lit(act)))
+                for f in functions:
+                    own = f(own)
+                numbered = others.unionByName(own)
+        return numbered

@@ -9,6 +9,7 @@ from lexweave.operators import elements as E
 from lexweave.operators import refs
 from lexweave.operators import sentences as S
 from lexweave.operators.semantics import analyze_elements
+from lexweave.plans.nested_queries import _WALK
 from lexweave.plans.register import register
 from lexweave.session import cut_lineage, read
 from lexweave.sinks import render
@@ -188,6 +189,7 @@ _E = lambda t: f"e AS (SELECT act_id, element_id, min(parent_id) AS parent_id, m
 _END = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, ' és$', ''), ' valamint$', ''), ' illetve$', ''), ' vagy$', ''), ';$', ''), ',$', '')"
 _UP = lambda k: f"LEFT JOIN e p{k} ON p{k}.act_id = e.act_id AND p{k}.element_id = {'e' if k == 1 else f'p{k - 1}'}.parent_id"
 _CITED_SQL = r"""c AS (SELECT row_id, act_id, unnest(regexp_extract_all(text, '[0-9]+\. § \([0-9]+\) bekezdés')) AS h FROM subpoints), t AS (SELECT row_id, act_id, regexp_extract(h, '^([0-9]+)', 1) || '_' || regexp_extract(h, '\(([0-9]+)\)', 1) || '__' AS target FROM c)"""
+_ROMAN_4K = "(repeat('M', {n} // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][{n} // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][{n} // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][{n} % 10 + 1])"
 SQL = {
     "act_structure": f"{_STRUCTURE} SELECT * FROM u",
     "act_amendments": f"""WITH {_ARTICLES}, q AS (SELECT act_id, article || '_' || paragraph || '__' AS pid, p FROM x WHERE p % 3 <> 0 AND p % 5 = 0)
@@ -213,6 +215,7 @@ SQL = {
       d AS (SELECT * FROM o WHERE o_orderkey % 2 = 0), u AS (SELECT u.o_orderkey, coalesce(d.named, u.short) AS act FROM (SELECT * FROM o WHERE o_orderkey % 2 = 1) u ASOF LEFT JOIN d ON u.o_custkey = d.o_custkey AND u.short = d.short AND u.o_orderkey >= d.o_orderkey)
       SELECT o_orderkey::VARCHAR AS o_orderkey, 15::BIGINT AS start_pos, (15 + length(named))::BIGINT AS end_pos, named AS act, NULL AS article_first FROM d
       UNION ALL SELECT o_orderkey::VARCHAR, 2, 6, act, NULL FROM u UNION ALL SELECT o_orderkey::VARCHAR, 7, 13, act, '3' FROM u""",
+    "sql_functions": f"""{_WALK} SELECT kind, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'order ' || {_ROMAN_4K.replace('{n}', '(o_orderkey % 3999 + 1)')}, count(*) FROM orders GROUP BY 1""",
     "ref_lookup": f"""WITH {_E('btk_mod_1')} SELECT act_id || ' 1 (2)-(3)' AS ref_id, act_id, element_id FROM e WHERE regexp_matches(element_id, '^1_(2([^0-9_][^_]*)?|3)__$')
       UNION ALL SELECT act_id || ' 2', act_id, element_id FROM e WHERE element_id = '2___'""",
 }

@@ -81,6 +81,8 @@ def run(lines: DataFrame, step: str = STEPS[-1], single_act: str | None = None,
     acts = raw_acts(lines, single_act)
     if step == "raw_act":
         return Result(acts)
+    # The caller reads the acts' headers and their elements as well as what is made of them.
+    acts = cut_lineage(acts)
     if fixups is not None and single_act is not None:
         fixups = fixups.where(F.col("act_id") == single_act)
     elements = structure(acts.select("act_id", "line_no", "content"), fixups)
@@ -88,8 +90,8 @@ def run(lines: DataFrame, step: str = STEPS[-1], single_act: str | None = None,
         elements = change(elements)
     if step == "structure_only":
         return Result(acts, elements)
-    opened = open_blocks(elements)
-    return Result(acts, opened, None if step == "ba_only" else analyze_elements(cut_lineage(opened)))
+    opened = cut_lineage(open_blocks(elements))
+    return Result(acts, opened, None if step == "ba_only" else analyze_elements(opened))
 
 
 def write(elements: DataFrame, fmt: str, folder: str, semantics: Semantics | None = None, acts_per_file: bool = True) -> None:

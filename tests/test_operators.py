@@ -373,3 +373,44 @@ def test_folder_of_intermediate_tables(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_command_line(spark, tmp_path):
+    from lexweave import cli
+
+    _gazette(spark).write.parquet(str(tmp_path / "lines"))
+    cli.main([str(tmp_path / "lines"), str(tmp_path / "out"), "--single-act", "2013. évi II. törvény", "--step", "structure_only", "--format", "json", "--many-acts-a-file"])
+    got = spark.read.parquet(str(tmp_path / "out" / "json")).collect()
+    assert [r.act_id for r in got] == ["2013. évi II. törvény"] and json.loads(got[0].json)[0]["identifier"] == "1"
+    cli.main([str(tmp_path / "lines"), str(tmp_path / "out"), "--step", "raw_act"])
+    assert spark.read.parquet(str(tmp_path / "out" / "acts")).select("act_id").distinct().count() == 2
+
+
+def test_registry_of_patches_and_functions(spark):
+    lines = spark.createDataFrame([("A", 0, "x"), ("A", 1, "y"), ("B", 0, "x")], LINE)
+    r = fixups.Registry()
+    r.add("A", "replace", "x", "X")
+    r.add("A", "empty_after", "X")
+    r.call("A", lambda df: df.withColumn("content", F.upper("content")))
+    r.call("C", lambda df: df)
+    assert [(x.act_id, x.content) for x in r.apply(lines).orderBy("act_id", "line_no").collect()] == [("A", "X"), ("A", ""), ("A", "Y"), ("B", "x")]
+    assert fixups.Registry().apply(lines).count() == 3
+
+
+def test_trees_rewritten(spark):
+    e = _elements(spark)
+    same = lambda a, b: {tuple(map(str, r)) for r in a.collect()} == {tuple(map(str, r)) for r in b.select(a.columns).collect()}
+    assert same(E.map_trees(e, lambda n: n), e) and same(E.map_trees(e, lambda n: n, children_first=True), e)
+
+    def change(n):
+        if n["element_id"] == "1_1_a_":
+            return None
+        if n["element_id"] == "1_2__":
+            return [n, {"element_id": "1_3__", "kind": "Paragraph", "identifier": "3", "text": "Új.", "in_amendment": False}]
+        return n | {"children": n["children"][::-1]} if n["kind"] == "Article" else n
+
+    got = {r.element_id: r for r in E.map_trees(e.where("act_id = 'X'"), change).collect()}
+    assert "1_1_a_" not in got and got["1_1_b_"].ord == 1 and got["1_1_b_"].path == [1, 3, 1] and got["1_3__"].path == [1, 2] and got["1_3__"].parent_id == "1___" and got["1_2__"].ord == 1
+    counted = {r.element_id: r.text for r in E.map_trees(e.where("act_id = 'X'"), lambda n: n | {"text": str(len(n["children"]))}, children_first=True).collect()}
+    assert counted["1___"] == "2" and counted["1_1__"] == "2"
+    assert E.map_trees(e.limit(0), change).count() == 0
