@@ -201,3 +201,58 @@ def test_unbalanced_quotes():
             quote_levels(lines(bad))
     with pytest.raises(StructureError):
         article(lines("1. § [a\nb\nc\nd]"))
+
+
+def test_every_kind_of_heading_and_point():
+    text = """ELSŐ KÖNYV
+BEVEZETŐ RENDELKEZÉSEK
+
+ELSŐ RÉSZ
+ÁLTALÁNOS SZABÁLYOK
+
+I. CÍM
+AZ ELSŐ CÍM
+
+I. FEJEZET
+AZ ELSŐ FEJEZET
+
+<BOLD>1. Első alcím
+
+1:1. § (1) Számozott pontok:
+       1. egy:
+       a) alap,
+       b) bér;
+       2. kettő.
+       (2) Betűs pontok:
+       a) első:
+       aa) fa,
+       ab) fű;
+       b) második:
+       1. szám,
+       2. másik szám;
+       c) harmadik.
+
+<BOLD>1/A. Közbülső alcím
+
+1:2. § Szöveg.
+
+II. FEJEZET
+A MÁSODIK FEJEZET
+
+IIII. FEJEZET
+
+MÁSODIK KÖNYV
+A MÁSODIK KÖNYV CÍME
+
+I. CÍM
+ÚJRA ELSŐ
+
+2:1. § Vége."""
+    _, found = act(lines(text))
+    tops = [(x["kind"], x["identifier"]) for x in found]
+    assert tops == [("Book", "1"), ("Part", "1"), ("Title", "1"), ("Chapter", "1"), ("Subtitle", "1"), ("Article", "1:1"), ("Subtitle", "1/A"), ("Article", "1:2"), ("Chapter", "2"), ("Book", "2"), ("Title", "1"), ("Article", "2:1")]
+    assert [x["title"] for x in found if x["kind"] in ("Book", "Title")] == ["BEVEZETŐ RENDELKEZÉSEK", "AZ ELSŐ CÍM", "A MÁSODIK KÖNYV CÍME", "ÚJRA ELSŐ"]
+    rows = {x["element_id"]: x for x in flatten(found)}
+    kinds = {k: rows[k]["kind"] for k in ("1colon1_1_1_", "1colon1_1_1_a", "1colon1_2_a_ab", "1colon1_2_b_2")}
+    assert kinds == {"1colon1_1_1_": "NumericPoint", "1colon1_1_1_a": "AlphabeticSubpoint", "1colon1_2_a_ab": "AlphabeticSubpoint", "1colon1_2_b_2": "NumericSubpoint"}
+    assert rows["1colon1_1_1_a"]["text"] == "alap," and rows["1colon1_2_a_ab"]["text"] == "fű;" and rows["1colon1_2_b_2"]["text"] == "másik szám;" and rows["1colon2_0__"]["text"] == "Szöveg."
