@@ -12,21 +12,21 @@ measured in the corpus' language and in every other whose alphabet has all its u
 from garbled ones, and restored as such, by their own dictionaries. Readings in letters of no language, in more unusual letters than
 before, or in letters of two scripts at once can't be shorter and aren't measured.
 
-Only values with an unusual character, or with a usual one that a chain may have made, reach Python; the dictionaries are made from a
-bounded sample of sound values.
+Only values with an unusual character, or with a usual one that a chain may have made, reach Python to be restored. The dictionaries are
+made from exact counts over all sound values, and over all texts of other languages; what is bounded is the size of a dictionary.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lexweave.session import cut_lineage
@@ -40,6 +40,8 @@ _LOWER, _UPPER, _ACCENTED = "a-záéíóöőúüű", "A-ZÁÉÍÓÖŐÚÜŰ", "
 #: Usual characters where sound text has none: a capital accented letter after a small letter, a small one among capitals, § or a quote
 #: on the wrong side of a letter, ő for § after a number.
 MISPLACED = rf"[{_LOWER}][{_ACCENTED}]|[{_UPPER}]{{2}}[éöőű]|(?<![{_LOWER}{_UPPER}])[éöőű][{_UPPER}]|[{_UPPER}][éöőű][{_UPPER}]|[{_LOWER}{_UPPER}][§„]|[§”][{_LOWER}{_UPPER}]|[0-9]\. ?[őű](?![{_LOWER}{_UPPER}])"
+#: What stands in all text with misplaced characters, told at a glance: Spark looks for these only where it is found.
+MAYBE_MISPLACED = rf"[^ -~](?:(?<=[{_ACCENTED}§„”])|(?<=[{_UPPER}].)|(?=[{_UPPER}])|(?<=\. ?[őű]))"
 #: Usual characters that can be misplaced, or that a chain may have made of other usual ones.
 TELLING = "éöőűÁÉÍÓÖŐÚÜŰ§„”"
 #: Bytes that a usual character costs besides where sound text has none.
@@ -60,9 +62,7 @@ UNKNOWN_BYTES = 1.6
 LEAD_WORDS = 12
 #: Words whose sizes a worker keeps.
 CACHE_WORDS = 200_000
-#: Bounds of the samples from which dictionaries are trained (values of the corpus, texts of each other language), and of their sizes.
-SAMPLE_VALUES = 40_000
-SAMPLE_TEXTS = 500
+#: Bounds of the sizes of dictionaries: trained words of each other language; words of the corpus, and as much again of whole values.
 LANGUAGE_BYTES = 100_000
 DICTIONARY_BYTES = 800_000
 LEVEL = 19
@@ -418,62 +418,89 @@ def _model(dictionaries: tuple[tuple[str, bytes], ...], usual: str) -> Model:
     return Model(dict(dictionaries), usual)
 
 
+def _unusual_at_a_glance(usual: str = USUAL) -> str:
+    """unusual_pattern for Java, which is slow at classes of many characters: printable ASCII is passed over first."""
+    return rf"[^ -~](?<![\t\n\r{usual}])"
+
+
 def sound(value: Column, usual: str = USUAL) -> Column:
     """Has the value no unusual character?"""
-    return ~value.rlike(unusual_pattern(usual))
+    return ~value.rlike(_unusual_at_a_glance(usual))
 
 
 def suspect(value: Column, usual: str = USUAL) -> Column:
     """May the value be garbled: has it an unusual character, or a usual one that can tell?"""
-    return value.rlike(f"[{TELLING}]|{unusual_pattern(usual)}")
+    return value.rlike(f"[^ -~](?:(?<=[{TELLING}])|(?<![\\t\\n\\r{usual}]))")
+
+
+def misplaced(value: Column) -> Column:
+    """Has the value a usual character where sound text has none?"""
+    return value.rlike(MAYBE_MISPLACED) & value.rlike(MISPLACED)
 
 
-def sample_values(values: DataFrame, usual: str = USUAL, sample: int = SAMPLE_VALUES) -> DataFrame:
-    """At most `sample` distinct sound values, whole, chosen by hash. values: one column, value."""
-    # Tasks sort and send at most `sample` hashes each, so values are thinned by hash to a few times the sample first. All copies of a
-    # value have one hash, so it is distinct values that count. Only hashes are limited, so long values needn't be in memory at once.
-    every = max(1, values.agg(F.approx_count_distinct("value")).first()[0] // (4 * sample))
-    good = F.col("value").isNotNull() & (F.length("value") > 0) & sound(F.col("value"), usual) & ~F.col("value").rlike(MISPLACED)
-    # Only what is left by the hash is looked at further, and once.
-    thin = values.select("value", F.xxhash64("value").alias("h")).where(F.when(F.pmod("h", F.lit(every)) == 0, good).otherwise(False))
-    rows = cut_lineage(thin.distinct())
-    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    return rows.where(F.col("h") <= F.lit(last).cast("bigint")).repartition(1).sortWithinPartitions("h", "value").select("value")
+def sample_values(values: DataFrame, usual: str = USUAL, sample: int | None = None) -> DataFrame:
+    """(value, n): the distinct sound values, whole, and how many rows have each: all of them, or only the `sample` with the least hashes if
+    a caller asks for fewer. values: one column, value."""
+    good = F.col("value").isNotNull() & (F.length("value") > 0) & sound(F.col("value"), usual) & ~misplaced(F.col("value"))
+    found = values.where(good).groupBy("value").agg(F.count("*").alias("n"))
+    return found if sample is None else found.orderBy(F.xxhash64("value"), "value").limit(sample)
 
 
-def fit(values: DataFrame, usual: str = USUAL, sample: int = SAMPLE_VALUES, texts: DataFrame | None = None) -> dict[str, bytes]:
-    """Dictionaries by language. That of the corpus is trained on at most `sample` of its distinct sound values, chosen by hash, so the
-    choice doesn't depend on how the table is stored; those of other languages on texts in them (see fit_languages), with the fixed
-    words above behind. values: one column, value. texts: lang, text."""
+def _first_that_fit(rows: DataFrame, order: list[Column], size: int) -> list[Row]:
+    """Of (name, text, …) the first rows of each name, in an order, whose texts fit in a size with a blank each, in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([pa.array([train(v for b in batches for v in b.column(0).to_pylist())], pa.binary())], names=["raw"])
+        left: defaultdict[str, int] = defaultdict(lambda: size)
+        for batch in batches:
+            kept = []
+            for i, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                left[name] -= len(text.encode()) + 1
+                if left[name] >= 0:
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    # One task reads the sample, and only the dictionary comes to the driver, however long the values are.
-    found = sample_values(values, usual, sample).mapInArrow(run, "raw binary").collect()
-    return {"corpus": bytes(found[0].raw) if found else train([])} | foreign_dictionaries({} if texts is None else fit_languages(texts))
+    # What is first of all is first in its partition, so each sends no more than fits, and one task chooses among that.
+    near = rows.sortWithinPartitions("name", *order).mapInArrow(run, rows.schema)
+    return near.repartition(1).sortWithinPartitions("name", *order).mapInArrow(run, rows.schema).collect()
 
 
-def fit_languages(texts: DataFrame, sample: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Words of at most `sample` distinct texts, whole, of each language of ALPHABETS that texts (lang, text) have, chosen by hash. Words
-    with letters that aren't the language's are left out, as texts may be garbled or wrongly labelled."""
-    lang = F.lower(F.trim(F.col("lang")))
-    known = texts.select(lang.alias("lang"), "text", F.xxhash64("text").alias("h")).where(F.col("lang").isin(*ALPHABETS) & (F.length("text") > 0))
-    # The rank stops every task at `sample` texts a language before the shuffle.
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = known.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= sample).select("lang", "text").distinct()
+def _counted_words(texts: DataFrame) -> DataFrame:
+    """(name, text, n): how often each word stands in (name, text); words are what Python's split makes of a text."""
+    words = texts.select("name", F.explode(F.split("text", r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")).alias("text"))
+    return words.where("text <> ''").groupBy("name", "text").agg(F.count("*").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter[str]] = {}
-        for batch in batches:
-            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts.setdefault(name, Counter()).update(w for w in text.split() if not w.isascii() and all(c < "\x7f" or c in ALPHABETS[name] for c in w))
-        for name, found in sorted(counts.items()):
-            words = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
-            yield pa.record_batch([pa.array([name]), pa.array([" ".join(reversed(words)).encode()[-LANGUAGE_BYTES:]], pa.binary())], names=["lang", "raw"])
-
-    rows = chosen.repartition("lang").mapInArrow(run, "lang string, raw binary").collect()
-    return {r.lang: bytes(r.raw) for r in rows}
+
+def fit(values: DataFrame, usual: str = USUAL, sample: int | None = None, texts: DataFrame | None = None) -> dict[str, bytes]:
+    """Dictionaries by language. That of the corpus has the words of all its distinct sound values by how often they stand there, as train
+    does, then the values whose copies repeat most bytes, whole; those of other languages are trained on all texts in them (see
+    fit_languages), with the fixed words above behind. values: one column, value. texts: lang, text. sample: see sample_values."""
+    found = cut_lineage(sample_values(values, usual, sample).select(F.lit("corpus").alias("name"), F.col("value").alias("text"), "n"))
+    words = _first_that_fit(_counted_words(found), [F.desc("n"), F.col("text")], DICTIONARY_BYTES)
+    size = F.octet_length("text")
+    whole = _first_that_fit(found.where(size < DICTIONARY_BYTES // 4), [F.desc((F.col("n") - 1) * size), F.desc(size), F.col("text")], DICTIONARY_BYTES)
+    return {"corpus": _joined(words, whole)} | foreign_dictionaries({} if texts is None else fit_languages(texts))
+
+
+def _joined(*parts: list[Row]) -> bytes:
+    """The texts of each part, the first of an order last."""
+    return "".join(f" {' '.join(r.text for r in reversed(part))}" for part in parts).encode() + b" "
+
+
+def fit_languages(texts: DataFrame, sample: int | None = None) -> dict[str, bytes]:
+    """Words of all distinct texts of each language of ALPHABETS that texts (lang, text) have, the most frequent last, or of the `sample`
+    texts of each with the least hashes if a caller asks for fewer. Words with letters that aren't the language's are left out, as texts
+    may be garbled or wrongly labelled."""
+    lang = F.lower(F.trim(F.col("lang")))
+    known = texts.select(lang.alias("name"), "text").where(F.col("name").isin(*ALPHABETS) & (F.length("text") > 0)).distinct()
+    if sample is not None:
+        first = Window.partitionBy("name").orderBy(F.xxhash64("text"), "text")
+        known = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("k")
+    own = functools.reduce(lambda x, name: x | ((F.col("name") == name) & ~F.col("text").rlike(rf"[^\x00-\x7e{ALPHABETS[name]}]")), ALPHABETS, F.lit(False))
+    words = _counted_words(known).where(F.col("text").rlike(r"[^\x00-\x7f]") & own)
+    by: defaultdict[str, list[Row]] = defaultdict(list)
+    for r in _first_that_fit(words, [F.desc("n"), F.col("text")], LANGUAGE_BYTES):
+        by[r.name].append(r)
+    return {name: " ".join(r.text for r in reversed(rows)).encode() for name, rows in by.items()}
 
 
 def foreign_dictionaries(trained: dict[str, bytes] | None = None) -> dict[str, bytes]:

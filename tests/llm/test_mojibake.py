@@ -1,8 +1,10 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
-from lexweave.llm.mojibake import SIGNS, Chain, Model, code_page, fields_of, fit, fit_languages, foreign_dictionaries, restore_fields, sample_values, sound, train, undo
+from lexweave.llm.mojibake import MISPLACED, SIGNS, TELLING, USUAL, Chain, Model, code_page, fields_of, fit, fit_languages, foreign_dictionaries, misplaced, restore_fields, sample_values, sound, suspect, train, undo, unusual_pattern
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,3 +126,30 @@ def test_dictionaries_of_languages(spark):
     assert fit_languages(spark.createDataFrame([], "lang string, text string")) == {}
     few = spark.createDataFrame([("de", f"wörter{i}") for i in range(40)] + [("de", "gleichförmig")] * 40, "lang string, text string")
     assert len(fit_languages(few, sample=10)["de"].decode().split()) == 10
+
+
+def test_dictionary_counts_all_values(spark):
+    df = spark.range(50_000).selectExpr("concat('w', id % 5000, '\\tv', id, ' ', if(id < 10, 'bő  \\n szó', 'szó'), ' ') AS value")
+    df = df.union(spark.createDataFrame([("sor egész",)] * 3 + [("szÚk",), ("Ã©",), ("y" * 300_000,)], "value string"))
+    values = {r.value for r in df.collect()} - {"szÚk", "Ã©"}
+    counts = Counter(w for v in values for w in v.split())
+    got = fit(df)["corpus"].decode()
+    assert got.startswith(f" {' '.join(reversed(sorted(counts, key=lambda w: (-counts[w], w))))} ")
+    # Of the values, those whose copies repeat most bytes come last.
+    assert got.endswith(" sor egész ")
+
+
+def test_dictionaries_of_languages_count_all_texts(spark):
+    df = spark.range(700).selectExpr("'de' AS lang", "concat('wörter', id, '\\u00a0', if(id >= 600, 'größer', 'für'), ' Ãber') AS text")
+    words = fit_languages(df)["de"].decode().split()
+    assert set(words) == {"größer", "für", *(f"wörter{i}" for i in range(700))} and words[-2:] == ["größer", "für"]
+
+
+def test_filters_in_spark_are_those_in_python(spark):
+    rng = random.Random(3)
+    chars = [*USUAL, *"aábBÉ1. .\n\t\r\x7f(", "\x85", "õ", "\U0001f600", "�"]
+    rows = [("".join(rng.choices(chars, k=rng.randint(0, 5))),) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "value string")
+    unusual = re.compile(unusual_pattern())
+    for r in df.select("value", sound(df.value).alias("s"), suspect(df.value).alias("t"), misplaced(df.value).alias("m")).distinct().collect():
+        assert (r.s, r.t, r.m) == (not unusual.search(r.value), bool(re.search(f"[{TELLING}]", r.value) or unusual.search(r.value)), bool(re.search(MISPLACED, r.value))), repr(r.value)
